@@ -24,16 +24,17 @@ def prefix_rank(
     rows_per_bucket: int = 200_000,
     rank: str = "rank",
     before: str = "before",
+    span: int = 1 << HASH_BITS,
 ) -> DataFrame:
     """Rank rows from 0 within ``keys`` by (``position``, ``ties``) without a window that holds a whole group.
 
-    ``position`` is uniform in [0, 2^60). Its range is cut into buckets, as many as ``total`` rows need; counts per
+    ``position`` is uniform in [0, ``span``). Its range is cut into buckets, as many as ``total`` rows need; counts per
     (keys, bucket) give each bucket's offset, and windows rank inside buckets only, so that a key with most of the
     rows is spread over as many tasks as any other. With ``weight``, ``before`` is the sum of the weights of all
     earlier rows. Keys must not be null.
     """
     buckets = max(1, -(-total // rows_per_bucket))
-    width = -(-(1 << HASH_BITS) // buckets)
+    width = -(-span // buckets)
     df = df.withColumn("_b", F.floor(F.col(position) / F.lit(width)).cast("int") if buckets > 1 else F.lit(0))
     order = [F.col(position), *[F.col(c).asc_nulls_first() for c in ties]]
     inside = W.partitionBy(*keys, "_b").orderBy(*order)
