@@ -78,3 +78,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_BYTE = np.zeros(256, dtype=np.uint8)  # 0: a mark, dropped; 1: white space; 2: part of a word
+_BYTE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
+_BYTE[np.r_[48:58, 65:91, 97:123, 128:256]] = 2
+_P = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        for k, base in enumerate((_P, _INVERSE)):
+            with np.errstate(over="ignore"):
+                _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, dtype=np.uint64)]), dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and the offset of each text's first.
+
+    Words are runs of anything but ASCII white space, in lower case and without ASCII punctuation; what has nothing else
+    is no word. Null texts have none. All bytes are handled at once: a word's hash is a difference of running sums of
+    bytes times powers of an odd number, times the inverse power at its start.
+    """
+    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pa.concat_arrays([texts])  # an array of its own, without a slice's offset
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[-1] == ends[0]:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = _BYTE[data]
+    letters = np.flatnonzero(kind == 2)
+    # a word starts at a letter if white space or a text's start lies between it and the letter before
+    breaks = np.cumsum(kind == 1)
+    text_of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[letters]
+    space = breaks[letters]
+    first = np.ones(len(letters), dtype=bool)
+    first[1:] = (space[1:] != space[:-1]) | (text_of[1:] != text_of[:-1])
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(ends), dtype=np.int64)
+    power, inverse = _power_tables(len(letters) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data[letters].astype(np.uint64) + np.uint64(1)) * power[: len(letters)], dtype=np.uint64)])
+    stops = np.append(starts[1:], len(letters))
+    hashes = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    return hashes, np.searchsorted(text_of[starts], np.arange(len(ends)), side="left").astype(np.int64)
