@@ -67,12 +67,16 @@ def _chars(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["line"]))
 
 
+def _count(lines: Column, why: str) -> Column:
+    return F.size(F.filter(lines, lambda x: x["reason"] == why)).cast("bigint")
+
+
 def report(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
     """For every row: doc_id, n_lines, lines removed by each rule, n_chars before and after, cleaned text, keep."""
     # the array of judged lines feeds every other column: a generator in between keeps it from being computed for each
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = rows.select("doc_id", F.explode(F.array(F.coalesce(judged(F.col("text")), F.array().cast("array<struct<line:string,reason:string>>")))).alias("l"), F.col("text").isNull().alias("none"))
-    removed = [F.size(F.filter("l", lambda x, r=r: x["reason"] == r)).cast("bigint").alias(f"removed_{r}") for r in REASONS]
+    removed = [_count(F.col("l"), r).alias(f"removed_{r}") for r in REASONS]
     rows = rows.select("doc_id", F.size("l").cast("bigint").alias("n_lines"), *removed, _chars(F.col("l")).alias("chars_before"), _chars(_kept(F.col("l"))).alias("chars_after"),
                        F.when(~F.col("none"), F.array_join(F.transform(_kept(F.col("l")), lambda x: x["line"]), "\n")).alias("cleaned"))
     return rows.withColumn("keep", (F.col("chars_after") > 0) & (F.col("chars_after") >= F.lit(least_kept) * F.col("chars_before")))

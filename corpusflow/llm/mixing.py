@@ -118,3 +118,45 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     keyed = docs.select("*", *_text_key(docs))
     joined = keyed.join(times, keyed["_cf_id"].eqNullSafe(times["_cf_id2"]) & (keyed["_cf_source"] == times["_cf_source2"]) & (keyed["_cf_key"] == times["_cf_key2"]))
     return joined.withColumn("_cf_epoch", F.explode(F.sequence(F.lit(1), F.col("_cf_times")))).select(*[joined[c] for c in docs.columns])
+
+
+SQL = f"""
+WITH counted AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5(text) AS key,
+    CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens
+  FROM documents
+), grouped AS (
+  SELECT doc_id, source, key, sum(tokens)::BIGINT AS tokens FROM counted WHERE tokens > 0 GROUP BY doc_id, source, key
+), laid AS (
+  SELECT doc_id, source, tokens, coalesce(sum(tokens) OVER (PARTITION BY source
+    ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT, doc_id NULLS FIRST, key NULLS FIRST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM grouped
+), weighed AS (
+  SELECT source, sum(tokens)::BIGINT AS total, round(pow(sum(tokens)::DOUBLE, {ALPHA}))::HUGEINT AS w FROM laid GROUP BY source
+), cumulated AS (
+  SELECT source, total, (sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING))::HUGEINT * {1 << BITS} // (sum(w) OVER ())::HUGEINT AS high FROM weighed
+), interval_of AS (
+  SELECT source, total, coalesce(lag(high) OVER (ORDER BY source), 0)::BIGINT AS low, high::BIGINT AS high, ceil(total / {BLOCK})::BIGINT AS need FROM cumulated
+), points AS (
+  SELECT unnest(range((SELECT max(ceil((need + {SLACK}) * {1 << BITS}.0 / (high - low)))::BIGINT FROM interval_of WHERE high > low))) AS slot
+), ranked AS (
+  SELECT slot, source, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS source_rank
+  FROM points JOIN interval_of ON slot % {1 << BITS} * {STEP} % {1 << BITS} >= low AND slot % {1 << BITS} * {STEP} % {1 << BITS} < high
+), slots AS (
+  SELECT slot, source, source_rank FROM ranked WHERE slot <= (SELECT max(slot) FROM ranked WHERE source_rank = need - 1)
+), used AS (
+  SELECT source, count(*) * {BLOCK} AS room FROM slots GROUP BY source
+), rounds AS (
+  SELECT laid.*, total, room, unnest(range(ceil((room - start) / total)::BIGINT)) AS epoch
+  FROM laid JOIN used USING (source) JOIN weighed USING (source)
+), placed AS (
+  SELECT doc_id, source, epoch, epoch * total + start AS lo, least(epoch * total + start + tokens, room) AS hi FROM rounds
+), pieces AS (
+  SELECT *, unnest(range(lo // {BLOCK}, (hi - 1) // {BLOCK} + 1)) AS source_rank FROM placed
+)
+SELECT slot, source, source_rank, epoch, greatest(lo, source_rank * {BLOCK}) - source_rank * {BLOCK} AS slot_offset, doc_id,
+  greatest(lo, source_rank * {BLOCK}) - lo AS doc_offset,
+  least(hi, (source_rank + 1) * {BLOCK}) - greatest(lo, source_rank * {BLOCK}) AS n_tokens
+FROM pieces JOIN slots USING (source, source_rank)
+"""

@@ -97,28 +97,30 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and the offset of each text's first.
 
     Words are runs of anything but ASCII white space, in lower case and without ASCII punctuation; what has nothing else
-    is no word. Null texts have none. All bytes are handled at once: a word's hash is a difference of running sums of
-    bytes times powers of an odd number, times the inverse power at its start.
+    is no word. With ``marks``, case counts, and runs of punctuation are words that end those of letters. Null texts have
+    none. All bytes are handled at once: a word's hash is a difference of running sums of bytes times powers of an odd
+    number, times the inverse power at its start.
     """
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    texts = pa.concat_arrays([texts])  # an array of its own, without a slice's offset
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pa.concat_arrays([texts if marks else pc.utf8_lower(texts)])  # an array of its own, without a slice's offset
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if ends[-1] == ends[0]:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
     kind = _BYTE[data]
-    letters = np.flatnonzero(kind == 2)
-    # a word starts at a letter if white space or a text's start lies between it and the letter before
-    breaks = np.cumsum(kind == 1)
-    text_of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[letters]
-    space = breaks[letters]
+    letters = np.flatnonzero(kind != 1 if marks else kind == 2)
+    # a word starts at a letter if white space, a text's start or a change of kind lies between it and the letter before
+    space = np.cumsum(kind == 1, dtype=np.int32)[letters]
+    text_of = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))[letters]
     first = np.ones(len(letters), dtype=bool)
     first[1:] = (space[1:] != space[:-1]) | (text_of[1:] != text_of[:-1])
+    if marks:
+        first[1:] |= np.diff(kind[letters]) != 0
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(ends), dtype=np.int64)

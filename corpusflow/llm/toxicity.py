@@ -118,26 +118,26 @@ class Model:
         return self.isotonic.probability(self.trees.score(x))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
-    """At most ``most`` labelled documents, each text once, with the fold of each."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, target: str = "toxic") -> DataFrame:
+    """text, ``target``, fold: at most ``most`` documents labelled 0 or 1, each text once."""
     one = (
-        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where("doc_id is not null and toxic in (0, 1)")
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias(target))
+        .where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
         .groupBy("doc_id")
-        .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_max"))
-        .where("toxic = _max")
+        .agg(F.min(target).alias(target), F.max(target).alias("_max"))
+        .where(F.col(target) == F.col("_max"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
-        .select("doc_id", "toxic")
+        .select("doc_id", target)
     )
     # the sample is bounded by a parameter, so is what is broadcast
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(one), "doc_id")
     return (
         texts.where("text is not null")
         .groupBy(F.xxhash64("text").alias("key"))
-        .agg(F.first("text").alias("text"), F.min("toxic").alias("toxic"), F.max("toxic").alias("_max"))
-        .where("toxic = _max")
-        .select("text", "toxic", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"))
+        .agg(F.first("text").alias("text"), F.min(target).alias(target), F.max(target).alias("_max"))
+        .where(F.col(target) == F.col("_max"))
+        .select("text", target, F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"))
     )
 
 
