@@ -1,8 +1,542 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries: one per operator, over whole tables, each with its SQL for the check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusflow.config import CHAT, ONE_SHOT
+from corpusflow.functions import ids, tables, text, vectors
+from corpusflow.operators import assembly, chunking, incremental, retrieval, segments, sessions
+from corpusflow.plans import inputs
+from corpusflow.plans.inputs import table
+from corpusflow.session import materialize
+from corpusflow.sources.scan import extension, latest_per_id, parser_name, visible
+from corpusflow.streaming.ingest import event_counts
 
 QUERIES = {}
-ORACLES = {}
+ORACLES: dict[str, str] = {}
+TARGET, OVERLAP = 300, 36
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+# ---- identities and counts ----
+
+
+@query("SELECT DISTINCT source, sha1('doc::' || source) AS document_id FROM documents")
+def ids_document(spark, sf):
+    return table(spark, sf, "documents").select("source").distinct().withColumn("document_id", ids.document_id(F.col("source")))
+
+
+@query("SELECT doc_id, sha1('chunk::' || sha1('doc::' || source) || '::text:all::' || substr(sha1(text), 1, 16)) AS id FROM documents")
+def ids_chunk(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", ids.chunk_id(ids.document_id(F.col("source")), F.lit("text:all"), F.col("text")).alias("id"))
+
+
+@query("SELECT substr(sha1(text), 1, 16) AS content_sha1, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_dups(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", ids.fingerprint(F.col("text")).alias("content_sha1"))
+    return rows.groupBy("content_sha1").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT upper(lang) AS source_type, count(*) AS units, count(DISTINCT source) AS documents FROM documents GROUP BY 1")
+def parse_type_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.upper("lang").alias("source_type")).agg(F.count(F.lit(1)).alias("units"), F.countDistinct("source").alias("documents"))
+
+
+@query("""
+SELECT page_id, path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, NOT regexp_matches(path, '(^|/)\\.[^/]') AS visible,
+  CASE page_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'csv' WHEN 2 THEN 'pptx' WHEN 3 THEN NULL ELSE 'text' END AS parser
+FROM (SELECT page_id, 'data/' || CASE WHEN page_id % 7 = 0 THEN '.git/' ELSE '' END || page_id || CASE page_id % 5 WHEN 0 THEN '.MD' WHEN 1 THEN '.csv' WHEN 2 THEN '.pptx' WHEN 3 THEN '.bin' ELSE '.log' END AS path FROM pages)
+""")
+def file_dispatch(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, (".MD", ".csv", ".pptx", ".bin", ".log"))), (F.col("page_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("data/"), F.when(F.col("page_id") % 7 == 0, ".git/").otherwise(""), F.col("page_id").cast("string"), kind)
+    rows = table(spark, sf, "pages").select("page_id", path.alias("path"))
+    return rows.select("page_id", "path", extension(F.col("path")).alias("ext"), visible(F.col("path")).alias("visible"), parser_name(extension(F.col("path"))).alias("parser"))
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS content FROM pages
+""")
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.page_text(F.col("html")).alias("content"))
+
+
+@query("SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id WHERE len(embedding) > 0")
+def corpus_filter(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return docs.join(vecs, "doc_id", "left").where("embedding is not null and size(embedding) > 0")
+
+
+@query("SELECT conv_id AS id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def chunk_lookup(spark, sf):
+    return latest_per_id(table(spark, sf, "conversations").withColumnRenamed("conv_id", "id"), "turn")
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4)::INTEGER AS num_tokens FROM documents")
+def token_len(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.token_len(F.col("text")).alias("num_tokens"))
+
+
+# ---- segmentation ----
+
+
+@query("""
+WITH spans AS (
+  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '(^|[^\\p{Lu}.])(\\.)\\s+([A-Z0-9\\[(])', '\\1\\2' || chr(1) || '\\3', 'g'), '([!?])\\s+([A-Z0-9\\[(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM documents
+), lines AS (
+  SELECT doc_id, s, string_split(text, chr(10)) AS l FROM spans
+), chosen AS (
+  SELECT doc_id, CASE WHEN len(s) > 1 THEN s ELSE list_filter(list_transform(l, lambda x, i: CASE WHEN i < len(l) THEN x || chr(10) ELSE x END), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> '') END AS s FROM lines
+)
+SELECT doc_id, (u.i - 1)::INTEGER AS sentence_no, u.s AS sentence FROM (SELECT doc_id, unnest(list_transform(s, lambda x, i: {'i': i, 's': x})) AS u FROM chosen)
+""")
+def sentence_spans(spark, sf):
+    return chunking.sentence_rows(table(spark, sf, "documents"))
+
+
+@query()
+def pack_sentences(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return chunking.apply_segments(docs, segments.pack_sentences, TARGET, OVERLAP, spans=True)
+
+
+@query()
+def pack_csv_rows(spark, sf):
+    return chunking.apply_segments(inputs.brand_csv(spark, sf), segments.pack_rows, TARGET, OVERLAP)
+
+
+@query()
+def split_recursive(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return chunking.apply_segments(docs, segments.split_recursive, TARGET, OVERLAP)
+
+
+@query(f"""
+WITH {inputs.MARKDOWN}, marked AS (
+  SELECT *, starts_with(trim(line), '#') AS h, sum(starts_with(trim(line), '#')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM md_lines
+), sections AS (
+  SELECT doc_id, n, max(CASE WHEN h THEN length(regexp_extract(trim(line), '^#+')) END)::INTEGER AS level, max(CASE WHEN h THEN trim(regexp_replace(trim(line), '^#+', '')) END) AS title,
+    string_agg(line, chr(10) ORDER BY line_no) AS content FROM marked GROUP BY doc_id, n
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n)::INTEGER AS section_index, level, title, content FROM sections
+""")
+def md_sections(spark, sf):
+    return chunking.markdown_sections(inputs.markdown(spark, sf)).drop("heading_path")
+
+
+@query(f"""
+WITH {inputs.MARKDOWN}, leveled AS (
+  SELECT *, length(regexp_extract(trim(line), '^(#{{1,3}})[ \\t]', 1)) AS l, trim(regexp_replace(trim(line), '^#{{1,3}}[ \\t]+', '')) AS t FROM md_lines
+), upto AS (
+  SELECT *, last_value(CASE WHEN l = 1 THEN {{'t': t}} END IGNORE NULLS) OVER w AS m1, last_value(CASE WHEN l BETWEEN 1 AND 2 THEN {{'t': CASE WHEN l = 2 THEN t END}} END IGNORE NULLS) OVER w AS m2,
+    last_value(CASE WHEN l BETWEEN 1 AND 3 THEN {{'t': CASE WHEN l = 3 THEN t END}} END IGNORE NULLS) OVER w AS m3 FROM leveled
+  WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT doc_id, line_no::INTEGER AS line_no, line, m1.t AS h1, m2.t AS h2, m3.t AS h3 FROM upto WHERE l = 0
+""")
+def md_heading_path(spark, sf):
+    return chunking.heading_lines(inputs.markdown(spark, sf))
+
+
+_delimiter = chunking.DELIMITER_ROW.replace("'", "''")
+
+
+@query(f"""
+WITH {inputs.MARKDOWN}, heads AS (
+  SELECT *, contains(line, '|') AS piped, contains(line, '|') AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no), '{_delimiter}'), false) AS head FROM md_lines
+), unders AS (
+  SELECT *, piped OR coalesce(lag(head) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS run FROM heads
+), stops AS (
+  SELECT *, sum((NOT run)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS stop FROM unders
+), inside AS (
+  SELECT *, run AND max(head::INT) OVER (PARTITION BY doc_id, stop ORDER BY line_no) = 1 AS i FROM stops
+), opened AS (
+  SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY line_no) <> i, true) AS opens FROM inside
+), blocks AS (
+  SELECT doc_id, i, line, line_no, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM opened
+), joined AS (
+  SELECT doc_id, b, any_value(i) AS is_table, min(line_no) AS place, string_agg(line, chr(10) ORDER BY line_no) AS content FROM blocks GROUP BY doc_id, b
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place)::INTEGER AS block, is_table, regexp_replace(content, '\\n+$', '') AS content FROM joined WHERE trim(content, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> ''
+""")
+def md_table_blocks(spark, sf):
+    return chunking.table_blocks(inputs.markdown(spark, sf))
+
+
+@query(f"""
+WITH {inputs.SLIDES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY slide_number) AS n FROM slides)
+SELECT source_path, n::INTEGER AS chunk_index, 'pptx-slide:' || n AS locator, content, slide_number FROM numbered WHERE trim(content, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> ''
+""")
+def slide_atomic(spark, sf):
+    return chunking.slide_chunks(inputs.slides(spark, sf))
+
+
+@query(f"""
+WITH {inputs.SLIDES}, paired AS (
+  SELECT *, row_number() OVER w AS n, lead(slide_number) OVER w AS last, lead(content) OVER w AS next FROM slides WINDOW w AS (PARTITION BY source_path ORDER BY slide_number)
+), merged AS (
+  SELECT source_path, coalesce(nullif(slide_number, 0), n)::INTEGER AS chunk_index, 'pptx-window:' || slide_number || '-' || last AS locator, slide_number,
+    array_to_string(list_filter([content, next], lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> ''), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS content FROM paired WHERE last IS NOT NULL
+)
+SELECT * FROM merged WHERE trim(content, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> ''
+""")
+def slide_windows(spark, sf):
+    return chunking.slide_windows(inputs.slides(spark, sf))
+
+
+# ---- texts ----
+
+
+@query(f"WITH {inputs.BRAND_CSV} SELECT p_brand, {inputs.linearized_sql('content')} AS linearized FROM brand_csv")
+def table_linearize(spark, sf):
+    return inputs.brand_csv(spark, sf).select("p_brand", tables.linearize(F.col("content")).alias("linearized"))
+
+
+@query(f"""
+WITH {inputs.BRAND_CSV}
+SELECT p_brand, '| ' || array_to_string(list_concat(['name | type | size |', '| --- | --- | --- |'], list_transform(string_split(content, chr(10))[2:7], lambda r: '| ' || replace(r, ',', ' | ') || ' |')), chr(10)) AS preview FROM brand_csv
+""")
+def csv_preview(spark, sf):
+    return inputs.brand_csv(spark, sf).select("p_brand", tables.csv_preview("content").alias("preview"))
+
+
+@query(f"WITH {inputs.UNITS} SELECT id, nearby FROM nearby")
+def page_neighbours(spark, sf):
+    return assembly.page_neighbours(inputs.units(spark, sf))
+
+
+def _texts(spark, sf) -> DataFrame:
+    units = inputs.units(spark, sf)
+    rows = units.join(assembly.page_neighbours(units), "id", "left")
+    return rows.withColumn("full_text", assembly.full_text(F.col("source_type"), F.lit(None).cast("string"), F.col("content"), F.col("heading_path"), F.col("nearby")))
+
+
+@query(f"WITH {inputs.UNITS}, {inputs.FULL_TEXT} SELECT id, full_text FROM texts")
+def full_text(spark, sf):
+    return _texts(spark, sf).select("id", "full_text")
+
+
+@query(f"""
+WITH {inputs.UNITS}, {inputs.FULL_TEXT}, firsts AS (SELECT *, string_split(trim(full_text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)), chr(10))[1] AS l FROM texts)
+SELECT id, CASE source_type
+  WHEN 'csv' THEN 'This table summarizes ' || coalesce(num_rows::VARCHAR, 'multiple') || ' rows across columns ' || array_to_string(columns, ', ') || '.'
+  WHEN 'image' THEN regexp_replace(trim(replace(string_split(full_text, chr(10))[1], 'Figure caption:', 'This figure')), '[.]+$', '') || '.'
+  ELSE CASE WHEN length(l) > 280 THEN rtrim(substr(l, 1, 280)) || '…' ELSE l END END AS summary_text FROM firsts
+""")
+def summary_text(spark, sf):
+    return _texts(spark, sf).select("id", assembly.summary_text(F.col("source_type"), F.lit(None).cast("string"), F.col("full_text"), F.col("columns"), F.col("num_rows")).alias("summary_text"))
+
+
+# ---- vectors ----
+
+
+@query("""
+SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-9), 6)) AS vector FROM embeddings
+""")
+def vec_normalise(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(vectors.l2_normalise(F.col("embedding")), lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("""
+SELECT vec_id, list_transform(m, lambda x: round(x, 6)) AS pooled FROM (
+  SELECT vec_id, list_transform(embedding[1:32]::DOUBLE[], lambda x, i: (x + embedding[i + 32]::DOUBLE) / 2) AS m FROM embeddings)
+""")
+def vec_mean_pool(spark, sf):
+    tokens = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(vectors.mean_pool(tokens), lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query("""
+SELECT label, pos::INTEGER AS pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos
+""")
+def vec_mean_by_document(spark, sf):
+    return table(spark, sf, "embeddings").select("label", F.posexplode(vectors.doubles(F.col("embedding"))).alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("""
+WITH q AS (SELECT item_id AS query_id, [embedding[1:32], embedding[33:64]] AS t FROM benchmark JOIN embeddings ON item_id = vec_id),
+d AS (SELECT vec_id AS item, [embedding[1:32], embedding[33:64]] AS t FROM embeddings)
+SELECT query_id, item, round(list_sum(list_transform(q.t, lambda a: list_max(list_transform(d.t, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))), 6) AS score FROM q, d
+""")
+def maxsim(spark, sf):
+    tokens = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    rows = table(spark, sf, "embeddings").select("vec_id", tokens.alias("t"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(rows.select(F.col("vec_id").alias("query_id"), F.col("t").alias("q")), "query_id")
+    return asked.crossJoin(rows.withColumnRenamed("vec_id", "item")).select("query_id", "item", F.round(vectors.max_sim(F.col("q"), F.col("t")), 6).alias("score"))
+
+
+# ---- retrieval ----
+
+_with = f"WITH RECURSIVE {inputs.RETRIEVAL}"
+
+
+def _scored(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("query_id", "item", F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _dense(spark, sf, part: str) -> DataFrame:
+    asked = inputs.query_vectors(spark, sf)
+    if part == "summary":
+        asked = asked.withColumn("vector", F.slice("vector", 1, 32))
+    return retrieval.dense_topk(asked, inputs.items(spark, sf).select("item", F.col("vector" if part == "full" else "summary").alias("vector")), 60)
+
+
+def _lexical(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    corpus = inputs.items(spark, sf).select("item", "text")
+    posts = materialize(retrieval.postings(corpus), "postings")
+    stats = retrieval.bm25_stats(corpus)
+    return inputs.questions(spark, sf).select("query_id", F.col("question").alias("text")), posts, retrieval.vocabulary(posts, stats), stats
+
+
+def _fused(spark, sf) -> DataFrame:
+    w = ONE_SHOT.weights
+    return retrieval.rrf([(_dense(spark, sf, "summary"), w[0]), (_dense(spark, sf, "full"), w[1]), (retrieval.bm25_topk(*_lexical(spark, sf), 60), w[2])])
+
+
+def _with_tables(spark, sf) -> DataFrame:
+    scores = retrieval.bm25_scores(*_lexical(spark, sf))
+    wants = inputs.questions(spark, sf).where(text.mentions(F.col("question"), text.TABLE_WORDS)).select("query_id")
+    some = wants.crossJoin(inputs.items(spark, sf).where("is_table").select("item")).join(scores, ["query_id", "item"], "left")
+    return retrieval.inject(_fused(spark, sf), retrieval.top(some.withColumn("score", F.coalesce("score", F.lit(0.0))), 20))
+
+
+def _injected(spark, sf) -> DataFrame:
+    wants = inputs.questions(spark, sf).where(text.mentions(F.col("question"), text.SLIDE_WORDS)).select("query_id")
+    first = retrieval.top(wants.crossJoin(inputs.items(spark, sf).where("is_slide").select("item")).withColumn("score", -F.col("item")), 30)
+    return retrieval.inject(_with_tables(spark, sf), first)
+
+
+def _reranked(spark, sf, ranked: DataFrame, config) -> DataFrame:
+    items, asked = inputs.items(spark, sf), inputs.questions(spark, sf)
+    capped = retrieval.cap_per_document(ranked.join(items.select("item", "document_id"), "item").select("query_id", "item", "rank", "document_id"), config.per_doc)
+    pool = capped.where(F.col("rank") <= config.pool).join(items.select("item", F.col("text").alias("passage")), "item").join(asked, "query_id")
+    return retrieval.lexical_rerank(pool, config.pool, config.top_reranked).select("query_id", "item", "document_id", "score", "rank")
+
+
+def _one_shot(spark, sf) -> DataFrame:
+    return retrieval.coherence(_reranked(spark, sf, _injected(spark, sf), ONE_SHOT), ONE_SHOT.final_k)
+
+
+_one = inputs.chain_sql("one", "injected", ONE_SHOT.per_doc, ONE_SHOT.pool, ONE_SHOT.top_reranked)
+_chat = inputs.chain_sql("chat", "fused", CHAT.per_doc, CHAT.pool, CHAT.top_reranked)
+
+
+@query(f"{_with} SELECT query_id, item, round(score, 6) AS score, rank FROM dense_full")
+def dense_topk(spark, sf):
+    return _scored(_dense(spark, sf, "full"))
+
+
+@query(f"{_with} SELECT query_id, item, round(score, 6) AS score, rank FROM dense_summary")
+def dense_topk_summary(spark, sf):
+    return _scored(_dense(spark, sf, "summary"))
+
+
+@query("""
+WITH words AS (SELECT list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), posts AS (SELECT DISTINCT n, term FROM (SELECT row_number() OVER () AS n, unnest(w) AS term FROM words)),
+stats AS (SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM words)
+SELECT term, count(*) AS df, any_value(n) AS n, any_value(avgdl) AS avgdl FROM (SELECT term FROM posts), stats GROUP BY term
+""")
+def bm25_stats(spark, sf):
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    stats = retrieval.bm25_stats(corpus).withColumn("avgdl", F.round("avgdl", 6))
+    return retrieval.vocabulary(retrieval.postings(corpus), stats).select("term", "df").crossJoin(F.broadcast(stats))  # one row
+
+
+@query(f"{_with} SELECT query_id, item, round(score, 6) AS score, rank FROM sparse")
+def bm25_topk(spark, sf):
+    return _scored(retrieval.bm25_topk(*_lexical(spark, sf), 60))
+
+
+@query(f"{_with} SELECT query_id, item, round(score, 9) AS score, rank FROM fused")
+def rrf_fuse(spark, sf):
+    return _scored(_fused(spark, sf), 9)
+
+
+@query(f"{_with}, {inputs.chain_sql('x', 'fused', 8, 120, 40)} SELECT query_id, item, document_id, rank FROM x_capped")
+def doc_cap(spark, sf):
+    ranked = _fused(spark, sf).join(inputs.items(spark, sf).select("item", "document_id"), "item")
+    return retrieval.cap_per_document(ranked, 8).select("query_id", "item", "document_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"{_with} SELECT query_id, item, rank FROM with_tables")
+def inject_tables(spark, sf):
+    return _with_tables(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"{_with} SELECT query_id, item, rank FROM injected")
+def inject_slides(spark, sf):
+    return _injected(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"{_with}, {_one} SELECT query_id, item, round(score, 6) AS score, rank FROM one_reranked")
+def rerank_lexical(spark, sf):
+    return _scored(_reranked(spark, sf, _injected(spark, sf), ONE_SHOT))
+
+
+def _mmr(spark, sf) -> DataFrame:
+    ranked = _reranked(spark, sf, _fused(spark, sf), CHAT)
+    asked = inputs.query_vectors(spark, sf).select("query_id", F.col("vector").alias("query_vector"))
+    return retrieval.mmr(ranked.join(inputs.items(spark, sf).select("item", "vector"), "item").join(asked, "query_id"), CHAT.final_k, CHAT.lambda_mmr)
+
+
+@query(f"{_with}, {_chat}, {inputs.mmr_sql('picks', 'chat_reranked', CHAT.final_k, CHAT.lambda_mmr)} SELECT query_id, item, rank::BIGINT AS rank, round(score, 6) AS score FROM picks")
+def mmr_select(spark, sf):
+    return _scored(_mmr(spark, sf))
+
+
+@query(f"{_with}, {_one} {inputs.coherent_sql('one_reranked', ONE_SHOT.final_k)}")
+def doc_coherence(spark, sf):
+    return _one_shot(spark, sf).select("query_id", "item", "document_id", "is_top", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"{_with} SELECT query_id, 'dense_summary' AS list, count(*) AS n FROM dense_summary GROUP BY query_id UNION ALL SELECT query_id, 'dense_full', count(*) FROM dense_full GROUP BY query_id UNION ALL SELECT query_id, 'sparse', count(*) FROM sparse GROUP BY query_id UNION ALL SELECT query_id, 'fused', count(*) FROM fused GROUP BY query_id")
+def retrieval_counts(spark, sf):
+    lists = {"dense_summary": _dense(spark, sf, "summary"), "dense_full": _dense(spark, sf, "full"), "sparse": retrieval.bm25_topk(*_lexical(spark, sf), 60), "fused": _fused(spark, sf)}
+    parts = [df.select("query_id", F.lit(name).alias("list")) for name, df in lists.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return every.groupBy("query_id", "list").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {inputs.RETRIEVAL.split(', asked AS')[0]} SELECT query_id, regexp_matches(lower(question), 'table|column|row|csv|spreadsheet') AS wants_table, regexp_matches(lower(question), 'slide|deck|presentation|pptx|powerpoint') AS wants_slide FROM questions")
+def source_filters(spark, sf):
+    q = F.col("question")
+    return inputs.questions(spark, sf).select("query_id", text.mentions(q, text.TABLE_WORDS).alias("wants_table"), text.mentions(q, text.SLIDE_WORDS).alias("wants_slide"))
+
+
+# ---- answers ----
+
+
+def _labels(spark, sf, final: DataFrame) -> DataFrame:
+    rows = final.join(inputs.items(spark, sf).select("item", "source_path", "is_slide", "text"), "item")
+    page, slide = (F.col("item") % 3).cast("int"), F.when(F.col("is_slide"), (F.col("item") % 2).cast("int"))
+    label = assembly.citation_label(F.col("rank"), F.col("source_path"), page, slide)
+    kind = F.when(F.col("is_slide"), "pptx").otherwise("txt")
+    block = assembly.context_block(F.col("rank"), kind, slide, F.when(F.col("item") % 5 == 0, "| a |"), F.col("text"))
+    return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), "item", label.alias("label"), block.alias("block"))
+
+
+_labelled = f"""final AS ({inputs.coherent_sql("one_reranked", ONE_SHOT.final_k)}), labelled AS (
+  SELECT query_id, rank, item, text, is_slide, '[' || rank || '] ' || source_path || coalesce(' (page ' || coalesce(nullif(item % 3, 0), CASE WHEN is_slide THEN nullif(item % 2, 0) END) || ')', '') AS label,
+    '[' || rank || '] ' || CASE WHEN is_slide THEN 'Slide ' || (item % 2) || ':' || chr(10) WHEN item % 5 = 0 THEN 'Table preview (first rows/cols):' || chr(10) || '| a |' || chr(10) || chr(10) || 'Details: ' ELSE '' END
+      || substr(trim(text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)), 1, 2200) AS block
+  FROM final JOIN items USING (item))"""
+
+
+@query(f"{_with}, {_one}, {_labelled} SELECT query_id, rank, item, label FROM labelled")
+def citation_labels(spark, sf):
+    return _labels(spark, sf, _one_shot(spark, sf)).drop("block")
+
+
+@query(f"{_with}, {_one}, {_labelled} SELECT query_id, rank, item, block FROM labelled")
+def context_blocks(spark, sf):
+    return _labels(spark, sf, _one_shot(spark, sf)).drop("label")
+
+
+@query(f"""{_with}, {_one}, {_labelled}
+SELECT query_id, 'Question: ' || any_value(question) || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '{assembly.TASK}' AS user FROM labelled JOIN questions USING (query_id) GROUP BY query_id
+""")
+def prompt_assembly(spark, sf):
+    return assembly.prompts(_labels(spark, sf, _one_shot(spark, sf)).join(inputs.questions(spark, sf), "query_id"))
+
+
+@query("""
+WITH answers AS (SELECT conv_id, turn, regexp_replace(text, '([a-z])[.]', '\\1 [' || turn || '].') AS answer FROM conversations),
+parts AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> '') AS s FROM answers)
+SELECT conv_id, turn, round(len(list_filter(s, lambda x: regexp_matches(x, '\\[[0-9]+\\]'))) / len(s), 6) AS coverage FROM parts
+""")
+def citation_coverage(spark, sf):
+    rows = table(spark, sf, "conversations")
+    # the first full stop after a small letter gets a citation
+    parts = F.split("text", "(?<=[a-z])[.]", 2)
+    answer = F.when(F.size(parts) > 1, F.concat(F.get(parts, F.lit(0)), F.lit(" ["), F.col("turn").cast("string"), F.lit("]."), F.get(parts, F.lit(1)))).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.round(text.citation_coverage(answer), 6).alias("coverage"))
+
+
+@query(f"{_with}, {_one}, {_labelled} SELECT query_id, rank, item, label, block FROM labelled")
+def hybrid_one_shot(spark, sf):
+    return _labels(spark, sf, _one_shot(spark, sf))
+
+
+@query(f"{_with}, {_chat}, {inputs.mmr_sql('picks', 'chat_reranked', CHAT.final_k, CHAT.lambda_mmr)} SELECT query_id, rank::BIGINT AS rank, item, text AS block FROM picks JOIN (SELECT item, text FROM items) USING (item)")
+def hybrid_chat(spark, sf):
+    return _mmr(spark, sf).join(inputs.items(spark, sf).select("item", F.col("text").alias("block")), "item").select("query_id", F.col("rank").cast("bigint").alias("rank"), "item", "block")
+
+
+# ---- sessions ----
+
+
+@query(f"""
+WITH {inputs.EXCHANGES}, last AS (SELECT * FROM exchanges QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 3)
+SELECT session_id, string_agg('Previous Q: ' || question || chr(10) || 'Previous A: ' || CASE WHEN length(coalesce(answer, '')) > 200 THEN substr(answer, 1, 200) || '...' ELSE coalesce(answer, '') END, chr(10) ORDER BY seq) AS context FROM last GROUP BY session_id
+""")
+def chat_context(spark, sf):
+    return sessions.chat_context(inputs.history(spark, sf))
+
+
+@query(f"WITH {inputs.EXCHANGES} SELECT session_id, seq, question, answer FROM exchanges QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 10")
+def chat_history(spark, sf):
+    return sessions.last_exchanges(inputs.history(spark, sf), 10).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query(f"""
+WITH {inputs.EXCHANGES}
+SELECT session_id, count(*) AS exchanges, sum(length(question) + length(coalesce(answer, '')))::BIGINT AS total_chars, round(avg(length(question)), 6) AS mean_question, round(avg(length(coalesce(answer, ''))), 6) AS mean_answer FROM exchanges GROUP BY session_id
+""")
+def session_stats(spark, sf):
+    return sessions.session_stats(inputs.history(spark, sf))
+
+
+@query("SELECT user_id AS session_id, count(*) AS exchanges, max(ts) AS last_updated FROM events GROUP BY user_id ORDER BY last_updated DESC, session_id LIMIT 50")
+def session_list(spark, sf):
+    return sessions.session_list(table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts"), 50)
+
+
+@query("SELECT user_id AS session_id, max(ts) AS last_updated FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND ts > TIMESTAMP '2024-01-14' GROUP BY user_id ORDER BY last_updated DESC, session_id LIMIT 1")
+def session_resume(spark, sf):
+    return sessions.resumable(table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts"), "2024-01-15 00:00:00")
+
+
+# ---- ingest ----
+
+
+@query(f"WITH {inputs.FILES} SELECT path, status FROM status")
+def cache_diff(spark, sf):
+    return incremental.diff(*inputs.file_states(spark, sf), "now")
+
+
+@query(f"WITH {inputs.FILES} SELECT path FROM status WHERE status IN ('new', 'changed')")
+def cache_misses(spark, sf):
+    return incremental.to_parse(*inputs.file_states(spark, sf), "now").select("path")
+
+
+@query(f"WITH {inputs.FILES} SELECT count(*) AS files, count(*) FILTER (status = 'unchanged') AS hits, round(avg((status = 'unchanged')::INT), 6) AS hit_rate FROM status WHERE status <> 'deleted'")
+def cache_hit_rate(spark, sf):
+    return incremental.hit_rate(incremental.diff(*inputs.file_states(spark, sf), "now"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf):
+    return event_counts(table(spark, sf, "events"))
 
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: hybrid retrieval with injection, cap, rerank and coherence for every benchmark question."""
+    return hybrid_one_shot(spark, sf_dir)
