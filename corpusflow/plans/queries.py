@@ -286,8 +286,8 @@ def maxsim(spark, sf):
 _with = f"WITH RECURSIVE {inputs.RETRIEVAL}"
 
 
-def _scored(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select("query_id", "item", F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "item", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _dense(spark, sf, part: str) -> DataFrame:
@@ -337,12 +337,12 @@ _one = inputs.chain_sql("one", "injected", ONE_SHOT.per_doc, ONE_SHOT.pool, ONE_
 _chat = inputs.chain_sql("chat", "fused", CHAT.per_doc, CHAT.pool, CHAT.top_reranked)
 
 
-@query(f"{_with} SELECT query_id, item, round(score, 6) AS score, rank FROM dense_full")
+@query(f"{_with} SELECT query_id, item, score, rank FROM dense_full")
 def dense_topk(spark, sf):
     return _scored(_dense(spark, sf, "full"))
 
 
-@query(f"{_with} SELECT query_id, item, round(score, 6) AS score, rank FROM dense_summary")
+@query(f"{_with} SELECT query_id, item, score, rank FROM dense_summary")
 def dense_topk_summary(spark, sf):
     return _scored(_dense(spark, sf, "summary"))
 
@@ -358,14 +358,14 @@ def bm25_stats(spark, sf):
     return retrieval.vocabulary(retrieval.postings(corpus), stats).select("term", "df").crossJoin(F.broadcast(stats))  # one row
 
 
-@query(f"{_with} SELECT query_id, item, round(score, 6) AS score, rank FROM sparse")
+@query(f"{_with} SELECT query_id, item, score, rank FROM sparse")
 def bm25_topk(spark, sf):
     return _scored(retrieval.bm25_topk(*_lexical(spark, sf), 60))
 
 
-@query(f"{_with} SELECT query_id, item, round(score, 9) AS score, rank FROM fused")
+@query(f"{_with} SELECT query_id, item, score, rank FROM fused")
 def rrf_fuse(spark, sf):
-    return _scored(_fused(spark, sf), 9)
+    return _scored(_fused(spark, sf))
 
 
 @query(f"{_with}, {inputs.chain_sql('x', 'fused', 8, 120, 40)} SELECT query_id, item, document_id, rank FROM x_capped")
@@ -384,7 +384,7 @@ def inject_slides(spark, sf):
     return _injected(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(f"{_with}, {_one} SELECT query_id, item, round(score, 6) AS score, rank FROM one_reranked")
+@query(f"{_with}, {_one} SELECT query_id, item, score, rank FROM one_reranked")
 def rerank_lexical(spark, sf):
     return _scored(_reranked(spark, sf, _injected(spark, sf), ONE_SHOT))
 
@@ -395,7 +395,7 @@ def _mmr(spark, sf) -> DataFrame:
     return retrieval.mmr(ranked.join(inputs.items(spark, sf).select("item", "vector"), "item").join(asked, "query_id"), CHAT.final_k, CHAT.lambda_mmr)
 
 
-@query(f"{_with}, {_chat}, {inputs.mmr_sql('picks', 'chat_reranked', CHAT.final_k, CHAT.lambda_mmr)} SELECT query_id, item, rank::BIGINT AS rank, round(score, 6) AS score FROM picks")
+@query(f"{_with}, {_chat}, {inputs.mmr_sql('picks', 'chat_reranked', CHAT.final_k, CHAT.lambda_mmr)} SELECT query_id, item, rank::BIGINT AS rank, score FROM picks")
 def mmr_select(spark, sf):
     return _scored(_mmr(spark, sf))
 
