@@ -190,21 +190,18 @@ def findings(docs: DataFrame, scanner: Scanner) -> DataFrame:
 def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET]``."""
 
-    def clean(batches: Iterator) -> Iterator:
-        for texts in batches:
-            found = texts.tolist()
-            for i, text in enumerate(found):
-                if isinstance(text, str):
-                    for a, n, *_ in reversed(scanner.scan(text)):
-                        text = text[:a] + MARK + text[a + n :]
-                    found[i] = text
-            yield type(texts)(found, index=texts.index, dtype=object)
-
-    from collections.abc import Iterator as It
-
-    import pandas as pd
-
-    clean.__annotations__ = {"batches": It[pd.Series], "return": It[pd.Series]}
-    changed = {"text": F.pandas_udf(clean, "string")(F.col("text").cast("string"))}
-    out = docs.withColumns(changed)
+    names = [f.name for f in docs.schema.fields]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                for i, text in enumerate(texts):
+                    for a, n, *_ in reversed(scanner.scan(text)) if text else ():
+                        texts[i] = texts[i][:a] + MARK + texts[i][a + n :]
+                columns = list(part.columns)
+                columns[names.index("text")] = pa.array(texts, part.column("text").type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = docs.mapInArrow(clean, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -67,8 +67,11 @@ class Tokens:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum per-token values (tokens x any) over each text."""
-        total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        out = np.zeros((len(self.offsets) - 1, *values.shape[1:]))
+        full = np.flatnonzero(self.counts)
+        if len(full):
+            out[full] = np.add.reduceat(values, self.offsets[:-1][full], axis=0, dtype=np.float64)
+        return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

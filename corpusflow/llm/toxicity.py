@@ -33,6 +33,9 @@ FOLDS = 5
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
 NEAR = 6
+#: Bytes of text handled at once, and entries that counts of terms may have before they are passed on.
+SLICE = 2 << 20
+TERMS = 200_000
 
 SEED = {
     "insult": "idiot idiots moron morons loser losers stupid dumb dumbass scum trash clown clowns pathetic worthless disgusting fool imbecile cretin jerk creep freak pig rat vermin parasite".split(),
@@ -54,51 +57,73 @@ class Lexicon:
     stems: set[str] = field(default_factory=set)
 
 
-def _word_values(words: list[str], lexicon: Lexicon) -> np.ndarray:
-    """Per distinct token: seed groups, learned word, learned stem, second person, capitals, marks and the like."""
-    seeds = [set(x) for x in SEED.values()]
-    every = set().union(*seeds) | lexicon.words
-    out = np.zeros((len(words), 13))
-    for i, raw in enumerate(words):
+class Words:
+    """Values of words under one lexicon, kept from text to text, since most words of a text were met before.
+
+    Values: seed groups, learned word, learned stem, second person, capitals, marks and the like.
+    """
+
+    MOST = 1 << 17
+    WIDTH = 13
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.seeds = [set(x) for x in SEED.values()]
+        self.every = set().union(*self.seeds) | lexicon.words
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1 << 12, self.WIDTH), dtype=np.float32)
+
+    def values(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > self.MOST:
+            self.at, new = {}, words
+        while len(self.at) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for word in new:
+            i = self.at[word] = len(self.at)
+            self._fill(self.rows[i], word)
+        return self.rows[np.fromiter((self.at[w] for w in words), dtype=np.int64, count=len(words))]
+
+    def _fill(self, row: np.ndarray, raw: str) -> None:
         core = _edge.sub("", raw)
         low = core.lower()
-        row = out[i]
-        for j, group in enumerate(seeds):
+        for j, group in enumerate(self.seeds):
             row[j] = low in group
-        row[3] = low in lexicon.words
-        row[4] = any(low[:n] in lexicon.stems for n in STEMS if len(low) >= n)
+        row[3] = low in self.lexicon.words
+        row[4] = any(low[:n] in self.lexicon.stems for n in STEMS if len(low) >= n)
         row[5] = low in SECOND
         row[6] = len(core) > 1 and core.isupper()
         row[7] = "!" in raw
         marks = len(_signs.findall(raw))
-        row[8] = marks / len(raw)
+        row[8] = marks / max(len(raw), 1)
         row[9] = marks > 2
         inner = _signs.search(core) is not None or (any(c.isdigit() for c in core) and any(c.isalpha() for c in core))
         row[10] = inner
-        if inner:
-            plain = re.sub(r"\W", "", core.lower().translate(_leet))
-            row[11] = plain != low and plain in every
+        row[11] = inner and (plain := re.sub(r"\W", "", low.translate(_leet))) != low and plain in self.every
         stretched = _runs.sub(r"\1", low)
-        row[12] = stretched != low and stretched in every
-    return out
+        row[12] = stretched != low and stretched in self.every
 
 
-def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+def features(texts: pa.Array, words: Words) -> np.ndarray:
     """One row of ``NAMES`` per text."""
     tokens = Tokens(texts)
-    values = _word_values(tokens.words, lexicon)[tokens.ids] if len(tokens.ids) else np.zeros((0, 13))
-    toxic = values[:, [0, 1, 2, 3, 4, 11, 12]].max(axis=1) if len(values) else np.zeros(0)
-    text_of = np.repeat(np.arange(len(tokens.counts)), tokens.counts)
-    hits, seconds = np.flatnonzero(toxic), np.flatnonzero(values[:, 5]) if len(values) else np.zeros(0, dtype=int)
-    near = np.zeros(len(toxic))
-    if len(hits) and len(seconds):
-        after = np.searchsorted(seconds, hits)
-        for side in (np.clip(after, 0, len(seconds) - 1), np.clip(after - 1, 0, len(seconds) - 1)):
-            other = seconds[side]
-            near[hits] = np.maximum(near[hits], (np.abs(other - hits) <= NEAR) & (text_of[other] == text_of[hits]))
-    sums = tokens.sums(np.column_stack([values, toxic, near]))
-    n = np.maximum(tokens.counts, 1)[:, None]
-    rates = sums / n
+    n = len(tokens.ids)
+    # one array for all per-token values: those of the words, then whether any is toxic and whether "you" is near
+    values = np.zeros((n, Words.WIDTH + 2), dtype=np.float32)
+    if n:
+        distinct = words.values(tokens.words)
+        toxic_word = distinct[:, [0, 1, 2, 3, 4, 11, 12]].max(axis=1)
+        values[:, : Words.WIDTH] = distinct[tokens.ids]
+        values[:, 13] = toxic_word[tokens.ids]
+        hits, seconds = np.flatnonzero(values[:, 13]), np.flatnonzero(values[:, 5])
+        if len(hits) and len(seconds):
+            text_of = lambda at: np.searchsorted(tokens.offsets, at, side="right")
+            after = np.searchsorted(seconds, hits)
+            for side in (np.clip(after, 0, len(seconds) - 1), np.clip(after - 1, 0, len(seconds) - 1)):
+                other = seconds[side]
+                values[hits, 14] = np.maximum(values[hits, 14], (np.abs(other - hits) <= NEAR) & (text_of(other) == text_of(hits)))
+    sums = tokens.sums(values)
+    rates = sums / np.maximum(tokens.counts, 1)[:, None]
     return np.column_stack([
         rates[:, :5], rates[:, 13], np.log1p(sums[:, 13]), rates[:, 14], rates[:, 5], rates[:, 6], rates[:, 7],
         rates[:, 8], rates[:, 9], rates[:, 10], rates[:, 11], rates[:, 12], np.log1p(tokens.counts),
@@ -112,7 +137,9 @@ class Model:
     isotonic: Isotonic | None = None
 
     def probability(self, texts: pa.Array) -> np.ndarray:
-        x = features(texts, self.lexicon)
+        if not hasattr(self, "_words"):
+            self._words = Words(self.lexicon)
+        x = features(texts, self._words)
         if self.trees is None:
             return np.clip(x[:, NAMES.index("any")] / 0.02, 0, 1)
         return self.isotonic.probability(self.trees.score(x))
@@ -144,8 +171,18 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, target:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of words and stems by fold and label, summed over the partition."""
     counts: dict[tuple[int, str], list[int]] = {}
+
+    def passed_on() -> pa.RecordBatch:
+        keys = list(counts)
+        batch = pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()),
+            pa.array([counts[k][1] for k in keys], pa.int64()), pa.array([counts[k][0] for k in keys], pa.int64()),
+        ], names=["fold", "term", "toxic", "clean"])
+        counts.clear()
+        return batch
+
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             tokens = Tokens(part.column("text"))
             low = [_edge.sub("", w).lower() for w in tokens.words]
             for i, (toxic, fold) in enumerate(zip(part.column("toxic").to_pylist(), part.column("fold").to_pylist())):
@@ -153,11 +190,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 terms = words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
                 for term in terms - {""}:
                     counts.setdefault((fold, term), [0, 0])[toxic] += 1
-    keys = list(counts)
-    yield pa.RecordBatch.from_arrays([
-        pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()),
-        pa.array([counts[k][1] for k in keys], pa.int64()), pa.array([counts[k][0] for k in keys], pa.int64()),
-    ], names=["fold", "term", "toxic", "clean"])
+            if len(counts) > TERMS:
+                yield passed_on()
+    yield passed_on()
 
 
 def _choose(rows: dict[str, tuple[int, int]]) -> Lexicon:
@@ -186,12 +221,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> Model:
     lexicons = [_choose(x) for x in without]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [Words(x) for x in lexicons]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 fold = part.column("fold").to_numpy()
                 for k in np.unique(fold):
                     rows = part.filter(pa.array(fold == k))
-                    x = features(rows.column("text"), lexicons[k])
+                    x = features(rows.column("text"), known[k])
                     yield pa.RecordBatch.from_arrays([rows.column("fold"), rows.column("toxic"), pa.array([v.tobytes() for v in x], pa.binary())], names=["fold", "toxic", "x"])
 
     rows = sample.mapInArrow(vectors, "fold int, toxic int, x binary").collect()
@@ -210,7 +246,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 p = model.probability(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "toxicity", "toxic"])
 
@@ -221,17 +257,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay below ``threshold``, with all their columns."""
 
-    def probability(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for texts in batches:
-            whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-            parts = [model.probability(part.column("text")) for part in slices(whole, "text")]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    from collections.abc import Iterator as It
-
-    import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                yield part.filter(pa.array(model.probability(part.column("text").cast(pa.string())) < threshold))
 
-    probability.__annotations__ = {"batches": It[pd.Series], "return": It[pd.Series]}
-    return docs.where(F.pandas_udf(probability, "double")(F.col("text").cast("string")) < threshold)
+    return docs.mapInArrow(run, docs.schema)
