@@ -67,9 +67,12 @@ class Words:
     WIDTH = 13
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        self.seeds = [set(x) for x in SEED.values()]
-        self.every = set().union(*self.seeds) | lexicon.words
+        self.stems = lexicon.stems
+        self.every = set().union(*SEED.values()) | lexicon.words
+        self.known: dict[str, list[int]] = {}
+        for j, group in enumerate([*SEED.values(), lexicon.words, (), SECOND]):
+            for word in group:
+                self.known.setdefault(word, []).append(j)
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, self.WIDTH), dtype=np.float32)
 
@@ -85,23 +88,29 @@ class Words:
         return self.rows[np.fromiter((self.at[w] for w in words), dtype=np.int64, count=len(words))]
 
     def _fill(self, row: np.ndarray, raw: str) -> None:
-        core = _edge.sub("", raw)
+        row[:] = 0
+        plain = raw.isalpha()
+        core = raw if plain else _edge.sub("", raw)
         low = core.lower()
-        for j, group in enumerate(self.seeds):
-            row[j] = low in group
-        row[3] = low in self.lexicon.words
-        row[4] = any(low[:n] in self.lexicon.stems for n in STEMS if len(low) >= n)
-        row[5] = low in SECOND
-        row[6] = len(core) > 1 and core.isupper()
+        for j in self.known.get(low, ()):
+            row[j] = 1
+        for n in STEMS:
+            if low[:n] in self.stems:
+                row[4] = 1
+        if len(core) > 1 and core.isupper():
+            row[6] = 1
+        if _runs.search(low) and (stretched := _runs.sub(r"\1", low)) in self.every and stretched != low:
+            row[12] = 1
+        if plain:
+            return
         row[7] = "!" in raw
         marks = len(_signs.findall(raw))
         row[8] = marks / max(len(raw), 1)
         row[9] = marks > 2
-        inner = _signs.search(core) is not None or (any(c.isdigit() for c in core) and any(c.isalpha() for c in core))
-        row[10] = inner
-        row[11] = inner and (plain := re.sub(r"\W", "", low.translate(_leet))) != low and plain in self.every
-        stretched = _runs.sub(r"\1", low)
-        row[12] = stretched != low and stretched in self.every
+        if not core.isalpha() and (_signs.search(core) or (any(map(str.isdigit, core)) and any(map(str.isalpha, core)))):
+            row[10] = 1
+            disguised = re.sub(r"\W", "", low.translate(_leet))
+            row[11] = disguised != low and disguised in self.every
 
 
 def features(texts: pa.Array, words: Words) -> np.ndarray:
