@@ -297,23 +297,26 @@ def _dense(spark, sf, part: str) -> DataFrame:
     return retrieval.dense_topk(asked, inputs.items(spark, sf).select("item", F.col("vector" if part == "full" else "summary").alias("vector")), 60)
 
 
-def _lexical(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _lexical(spark, sf) -> DataFrame:
+    """BM25 of every question and item that share a term, written once: several steps read it."""
     corpus = inputs.items(spark, sf).select("item", "text")
     posts = materialize(retrieval.postings(corpus), "postings")
-    stats = retrieval.bm25_stats(corpus)
-    return inputs.questions(spark, sf).select("query_id", F.col("question").alias("text")), posts, retrieval.vocabulary(posts, stats), stats
+    stats = materialize(retrieval.bm25_stats(corpus), "stats")
+    asked = inputs.questions(spark, sf).select("query_id", F.col("question").alias("text"))
+    return materialize(retrieval.bm25_scores(asked, posts, retrieval.vocabulary(posts, stats), stats), "scores")
 
 
-def _fused(spark, sf) -> DataFrame:
+def _fused(spark, sf, scores: DataFrame | None = None) -> DataFrame:
     w = ONE_SHOT.weights
-    return retrieval.rrf([(_dense(spark, sf, "summary"), w[0]), (_dense(spark, sf, "full"), w[1]), (retrieval.bm25_topk(*_lexical(spark, sf), 60), w[2])])
+    scores = _lexical(spark, sf) if scores is None else scores
+    return retrieval.rrf([(_dense(spark, sf, "summary"), w[0]), (_dense(spark, sf, "full"), w[1]), (retrieval.top(scores, 60), w[2])])
 
 
 def _with_tables(spark, sf) -> DataFrame:
-    scores = retrieval.bm25_scores(*_lexical(spark, sf))
+    scores = _lexical(spark, sf)
     wants = inputs.questions(spark, sf).where(text.mentions(F.col("question"), text.TABLE_WORDS)).select("query_id")
     some = wants.crossJoin(inputs.items(spark, sf).where("is_table").select("item")).join(scores, ["query_id", "item"], "left")
-    return retrieval.inject(_fused(spark, sf), retrieval.top(some.withColumn("score", F.coalesce("score", F.lit(0.0))), 20))
+    return retrieval.inject(_fused(spark, sf, scores), retrieval.top(some.withColumn("score", F.coalesce("score", F.lit(0.0))), 20))
 
 
 def _injected(spark, sf) -> DataFrame:
@@ -360,7 +363,7 @@ def bm25_stats(spark, sf):
 
 @query(f"{_with} SELECT query_id, item, score, rank FROM sparse")
 def bm25_topk(spark, sf):
-    return _scored(retrieval.bm25_topk(*_lexical(spark, sf), 60))
+    return _scored(retrieval.top(_lexical(spark, sf), 60))
 
 
 @query(f"{_with} SELECT query_id, item, score, rank FROM fused")
@@ -407,7 +410,8 @@ def doc_coherence(spark, sf):
 
 @query(f"{_with} SELECT query_id, 'dense_summary' AS list, count(*) AS n FROM dense_summary GROUP BY query_id UNION ALL SELECT query_id, 'dense_full', count(*) FROM dense_full GROUP BY query_id UNION ALL SELECT query_id, 'sparse', count(*) FROM sparse GROUP BY query_id UNION ALL SELECT query_id, 'fused', count(*) FROM fused GROUP BY query_id")
 def retrieval_counts(spark, sf):
-    lists = {"dense_summary": _dense(spark, sf, "summary"), "dense_full": _dense(spark, sf, "full"), "sparse": retrieval.bm25_topk(*_lexical(spark, sf), 60), "fused": _fused(spark, sf)}
+    scores = _lexical(spark, sf)
+    lists = {"dense_summary": _dense(spark, sf, "summary"), "dense_full": _dense(spark, sf, "full"), "sparse": retrieval.top(scores, 60), "fused": _fused(spark, sf, scores)}
     parts = [df.select("query_id", F.lit(name).alias("list")) for name, df in lists.items()]
     every = parts[0]
     for part in parts[1:]:
