@@ -49,24 +49,19 @@ def _chat(engine: Engine, session: str, verbose: bool, timeout: int) -> None:
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="corpusflow")
     commands = parser.add_subparsers(dest="command", required=True)
-    build = commands.add_parser("build")
-    build.add_argument("--data", required=True)
-    build.add_argument("--target-tokens", type=int, default=300)
-    build.add_argument("--overlap", type=float, default=0.12)
-    build.add_argument("--skip", nargs="*", default=[], choices=["parse", "chunk", "embed"])
-    build.add_argument("--force", action="store_true")
-    query = commands.add_parser("query")
-    query.add_argument("question")
-    query.add_argument("--topk", type=int, default=10)
-    chat = commands.add_parser("chat")
-    chat.add_argument("--session")
-    chat.add_argument("--new-session", action="store_true")
-    chat.add_argument("--verbose", action="store_true")
-    doctor = commands.add_parser("doctor")
-    for p in (build, query, chat, doctor):
-        p.add_argument("--index", default="artifacts")
-    for p in (query, chat):
-        p.add_argument("--timeout", type=int, default=60)
+    defaults = ChunkOptions()
+    wanted = {
+        "build": {"--data": {"required": True}, "--target-tokens": {"default": defaults.target_tokens, "type": int}, "--overlap": {"default": defaults.overlap, "type": float}, "--skip": {"nargs": "*", "default": [], "choices": ["parse", "chunk", "embed"]}, "--force": {"action": "store_true"}},
+        "query": {"question": {}, "--topk": {"default": ONE_SHOT.final_k, "type": int}},
+        "chat": {"--session": {}, "--new-session": {"action": "store_true"}, "--verbose": {"action": "store_true"}},
+        "doctor": {},
+    }
+    for command, options in wanted.items():
+        sub = commands.add_parser(command)
+        if command in ("query", "chat"):
+            options["--timeout"] = {"default": ONE_SHOT.timeout, "type": int}
+        for name, settings in {**options, "--index": {"default": "artifacts"}}.items():
+            sub.add_argument(name, **settings)
     a = parser.parse_args(arguments)
     options = ChunkOptions(a.target_tokens, a.overlap) if a.command == "build" else None
     engine = Engine(local_session(), a.index, chunk_options=options)

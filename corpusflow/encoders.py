@@ -35,7 +35,7 @@ class Reranker(Protocol):
 
 
 class Generator(Protocol):
-    def generate(self, system: str, user: str, timeout: int = 60) -> str: ...
+    def generate(self, system: str, prompt: str, timeout: float = 60.0) -> str: ...
 
     def ping(self) -> str: ...
 
@@ -82,8 +82,8 @@ class RemoteEncoder:
 class OfflineGenerator:
     """Returns the first sentence of every context block with its number."""
 
-    def generate(self, system: str, user: str, timeout: int = 60) -> str:
-        context = user.split("Context:\n", 1)[-1]
+    def generate(self, system: str, prompt: str, timeout: float = 60.0) -> str:
+        context = prompt.split("Context:\n", 1)[-1]
         lines = [b for b in context.split("\n\n") if b.startswith("[")]
         said = []
         for block in lines:
@@ -103,8 +103,8 @@ class RemoteGenerator:
         self.url, self.key = os.environ["GENERATOR_BASE_URL"], os.environ["GENERATOR_API_KEY"]
         self.model = model or os.environ.get("GENERATOR_MODEL", "default")
 
-    def generate(self, system: str, user: str, timeout: int = 60) -> str:
-        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+    def generate(self, system: str, prompt: str, timeout: float = 60.0) -> str:
+        messages = [dict(zip(("role", "content"), part)) for part in (("system", system), ("user", prompt)) if part[1]]
         reply = _post(f"{self.url.rstrip('/')}/chat/completions", {"model": self.model, "messages": messages}, self.key, timeout)
         choice = (reply.get("choices") or [{}])[0]
         return ((choice.get("message") or {}).get("content") or choice.get("text") or "").strip()

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TABLE_WORDS = ("table", "column", "row", "csv", "spreadsheet")
+_opens = "[0-9A-Z(\\[]"
+#: White space after the end of a sentence and before what may open the next.
+BOUNDARY = f"(?<=[!?]|(?<!\\p{{Lu}})\\.)\\s+(?={_opens})"
 SLIDE_WORDS = ("slide", "deck", "presentation", "pptx", "powerpoint")
 
 
@@ -52,7 +55,7 @@ def sentences(text: Column) -> Column:
     """
     whole = normalise_newlines(text)
     paragraphs = F.filter(F.split(whole, "\n\n"), lambda p: ~is_blank(p))
-    spans = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[!?]|(?<!\p{Lu})\.)\s+(?=[A-Z0-9\[(])")))
+    spans = F.flatten(F.transform(paragraphs, lambda p: F.split(p, BOUNDARY)))
     lines = F.split(whole, "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(i < F.size(lines) - 1, F.concat(x, F.lit("\n"))).otherwise(x)), lambda x: ~is_blank(x))
     return F.when(F.size(spans) > 1, spans).otherwise(kept)
@@ -60,7 +63,7 @@ def sentences(text: Column) -> Column:
 
 def citation_coverage(answer: Column) -> Column:
     """The share of an answer's sentences that carry a mark such as [3]; null without sentences."""
-    parts = F.filter(F.split(answer, r"(?<=[.!?])\s+"), lambda s: ~is_blank(s))
+    parts = F.filter(F.split(answer, r"(?<=[!.?])\s+"), lambda s: ~is_blank(s))
     cited = F.size(F.filter(parts, lambda s: s.rlike(r"\[[0-9]+\]")))
     return F.when(F.size(parts) > 0, cited / F.size(parts))
 

@@ -18,7 +18,8 @@ from corpusflow.functions.ids import chunk_id, document_id, fingerprint
 from corpusflow.functions.text import is_blank, sentences, strip, token_len
 from corpusflow.operators import segments
 
-DELIMITER_ROW = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
+_dashes = "[ \\t]*:?---+:?[ \\t]*"
+DELIMITER_ROW = f"^[ \\t]*[|]?{_dashes}([|]{_dashes})+[|]?[ \\t\\r]*$"
 CUT = "\n\n---\n\n"
 
 

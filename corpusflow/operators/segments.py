@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 _boundary = re.compile(r"[.!?](?=\s+[A-Z0-9\[(])")
 _blanks = re.compile(r"\s+")
+_line_end = re.compile(r"\r\n?")
 Length = Callable[[str], int]
+SEPARATORS = tuple("\n" * n for n in (2, 1)) + (" ", "")
 
 
 def token_len(text: str) -> int:
@@ -64,7 +66,7 @@ def pack_sentences(text: str | None, target: int, overlap: int, length: Length =
 
     A span longer than the target is a chunk with whatever overlap precedes it. The overlap keeps at least one span.
     """
-    text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+    text = _line_end.sub("\n", text or "")
     if not text.strip():
         return []
     spans = merge_short(text, sentence_spans(text), max(1, target // 20), length)
@@ -115,7 +117,7 @@ def pack_rows(text: str | None, target: int, overlap: int, length: Length = toke
     return [*out, "\n".join([header, *held])] if held else out
 
 
-def split_recursive(text: str | None, target: int, overlap: int, length: Length = token_len, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+def split_recursive(text: str | None, target: int, overlap: int, length: Length = token_len, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Split at the coarsest separator that occurs, finer where a part is still too long, and merge parts up to ``target``
     tokens with an overlap of whole parts. Chunks are stripped; blank ones are dropped."""
     text = text or ""

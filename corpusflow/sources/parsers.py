@@ -15,8 +15,6 @@ from xml.etree import ElementTree
 
 from corpusflow.functions.tables import html_tables_to_csv, sniff_csv, to_csv_text
 
-TEXT = {".txt", ".log"}
-IMAGES = {".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"}
 _a = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -96,7 +94,7 @@ def read_pptx(data: bytes, path: str) -> list[Unit]:
             units.append(Unit("pptx", f"slide:{number}", "\n\n".join(s for s in shapes if s), meta))
             for t, table in enumerate(root.iter(f"{_a}tbl"), 1):
                 rows = [["\n".join(paragraph(p) for p in tc.iter(f"{_a}p")) for tc in tr.iter(f"{_a}tc")] for tr in table.iter(f"{_a}tr")]
-                units.append(Unit("pptx", f"slide:{number}/table:{t}", to_csv_text(rows), {**meta, "table_index": t, "content_format": "csv", "extractor": "pptx"}))
+                units.append(Unit("pptx", f"slide:{number}/table:{t}", to_csv_text(rows), meta | dict(table_index=t, content_format="csv", extractor="pptx")))
     return units
 
 
@@ -128,7 +126,7 @@ def read_pdf(data: bytes, path: str) -> list[Unit]:
         return units
     with pdfplumber.open(io.BytesIO(data)) as document:
         for n, page in enumerate(document.pages, 1):
-            tables = page.extract_tables({"vertical_strategy": "lines", "horizontal_strategy": "lines"}) or page.extract_tables({"vertical_strategy": "text", "horizontal_strategy": "text"})
+            tables = next((t for way in ("lines", "text") if (t := page.extract_tables(dict.fromkeys(("vertical_strategy", "horizontal_strategy"), way)))), [])
             units += [u for t, rows in enumerate(tables, 1) if (u := table_unit(rows, n, t))]
     return units
 

@@ -24,7 +24,7 @@ def extension(path: Column) -> Column:
 
 def parser_name(ext: Column) -> Column:
     """The reader of an extension; null for what isn't read."""
-    kinds = {"text": [".txt", ".log"], "markdown": [".md", ".markdown"], "csv": [".csv"], "docx": [".docx"], "pptx": [".pptx"], "pdf": [".pdf"], "image": [".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]}
+    kinds = {"text": [".txt", ".log"], "markdown": [".md", ".markdown"], "csv": [".csv"], "docx": [".docx"], "pptx": [".pptx"], "pdf": [".pdf"], "image": [f".{x}" for x in "bmp jpeg jpg png tif tiff webp".split()]}
     out = F.lit(None).cast("string")
     for name, extensions in kinds.items():
         out = F.when(ext.isin(*extensions), name).otherwise(out)
