@@ -3,8 +3,11 @@
 Every tree has one random direction per depth (orthonormal within the tree) and splits each node at the median of its
 vectors' projections, learned from a sample of ``SAMPLE`` rows. Every row is a member of one leaf per tree and a query:
 one priority queue over all trees holds the branches not taken, by the sum of the squared distances to the planes that
-lie between, and gives the query its ``PROBES`` nearest leaves of the whole forest. Members and queries meet by a shuffle
-on (tree, leaf); there all similarities are exact, and each query's best of every leaf are merged.
+lie between, and gives the query the leaves of the whole forest in the order of that distance, up to a radius. The radius
+is learned: among rows of the sample, the share ``RECALL`` of the true neighbours lie within it in some tree. So queries
+ask few leaves where the vectors have structure and many where they have none, at any size; in a larger table neighbours
+are nearer than in the sample, which errs on the safe side. Members and queries meet by a shuffle on (tree, leaf); there
+all similarities are exact, and each query's best of every leaf are merged.
 
 Neither an index nor a table of candidates is sent to all tasks: only the directions and medians are, whose size depends
 on the depth, which the sample bounds.
@@ -32,7 +35,9 @@ from corpusflow.session import materialize
 NEIGHBOURS = 10
 TREES = 4
 LEAF = 2048
-PROBES = 32
+RECALL = 0.95
+#: Rows of the sample whose true neighbours in it set the radius.
+CALIBRATION = 512
 SAMPLE = 65_536
 LEAST_IN_SAMPLE = 16
 _SEED = 5
@@ -47,6 +52,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 class Forest:
     directions: np.ndarray  # trees x depth x width
     medians: np.ndarray  # trees x nodes, by level
+    radius: float = 0.0
 
     @classmethod
     def build(cls, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF) -> Forest:
@@ -83,11 +89,35 @@ class Forest:
             node = 2 * node + (p[:, :, d] > self.medians[trees, (1 << d) - 1 + node])
         return node
 
-    def probes(self, p: np.ndarray, most: int = PROBES) -> list[tuple[int, int]]:
-        """The ``most`` nearest (tree, leaf) of one row of projections, from one queue over all trees."""
+    def distance(self, p: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Sums of squared distances to the planes between each row of projections and its given leaf of each tree."""
+        trees = np.arange(p.shape[1])
+        far, node = np.zeros(p.shape[:2]), np.zeros(p.shape[:2], dtype=np.int64)
+        for d in range(self.depth):
+            side = leaves >> (self.depth - 1 - d) & 1
+            gap = p[:, :, d] - self.medians[trees, (1 << d) - 1 + node]
+            far += np.where((gap > 0) != (side > 0), gap * gap, 0)
+            node = 2 * node + side
+        return far
+
+    def calibrate(self, sample: np.ndarray, k: int, recall: float = RECALL) -> Forest:
+        """Set the radius by the true ``k`` nearest neighbours of some rows among the sample."""
+        rows = np.random.default_rng(_SEED).permutation(len(sample))[:CALIBRATION]
+        k = min(k, len(sample) - 1)
+        if k > 0 and self.depth:
+            s = sample[rows] @ sample.T
+            s[np.arange(len(rows)), rows] = -9
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            p = np.repeat(self.project(sample[rows]), k, axis=0)
+            far = self.distance(p, self.leaves(self.project(sample[near.ravel()]))).min(axis=1)
+            self.radius = float(np.quantile(far, recall, method="higher"))
+        return self
+
+    def probes(self, p: np.ndarray) -> list[tuple[int, int]]:
+        """The (tree, leaf) within the radius of one row of projections, nearest first, from one queue over all trees."""
         queue = [(0.0, t, 0, 0) for t in range(p.shape[0])]
-        rows, medians, depth, out = p.tolist(), self.medians, self.depth, []
-        while queue and len(out) < most:
+        rows, medians, depth, radius, out = p.tolist(), self.medians, self.depth, self.radius, []
+        while queue and queue[0][0] <= radius:
             far, t, d, node = heapq.heappop(queue)
             while d < depth:
                 gap = rows[t][d] - medians[t, (1 << d) - 1 + node]
@@ -116,13 +146,14 @@ def unit_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     return rows.where(F.size("v") == width).mapInArrow(run, "id bigint, x binary"), width
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, rank from 1, neighbour_id, similarity: the ``k`` nearest found of every row."""
     spark = vectors.sparkSession
     units, width = unit_vectors(vectors, id_column, column)
     units = materialize(units, "ann-units")
     sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()
-    forest = spark.sparkContext.broadcast(Forest.build(_matrix(sample.column("x"), width), units.count(), trees, leaf))
+    x = _matrix(sample.column("x"), width)
+    forest = spark.sparkContext.broadcast(Forest.build(x, units.count(), trees, leaf).calibrate(x, k, recall))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -133,7 +164,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf: i
                 home = f.leaves(p)
                 row, tree, node, query = [], [], [], []
                 for i in range(batch.num_rows):
-                    asked = f.probes(p[i], probes)
+                    asked = f.probes(p[i])
                     row += [i] * (len(asked) + trees)
                     tree += [*range(trees), *(t for t, _ in asked)]
                     node += [*home[i].tolist(), *(n for _, n in asked)]

@@ -55,8 +55,12 @@ def test_queue_takes_the_nearest_leaves_of_all_trees():
                 far += gap * gap if (gap > 0) != side else 0
                 node = 2 * node + side
             every.append((far, t, leaf))
-    asked = forest.probes(p, 12)
+    forest.radius = sorted(every)[11][0]
+    asked = forest.probes(p)
     assert sorted(asked) == sorted((t, leaf) for _, t, leaf in sorted(every)[:12])
+    leaves = np.array([[leaf] * 3 for _, _, leaf in every])
+    far = forest.distance(np.repeat(p[None], len(every), axis=0), leaves)
+    assert np.allclose([far[i, t] for i, (_, t, _) in enumerate(every)], [f for f, _, _ in every])
 
 
 def test_odd_rows(spark):
