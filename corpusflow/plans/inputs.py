@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -259,8 +258,3 @@ def coherent_sql(source: str, k: int) -> str:
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_top DESC, old) AS rank FROM (
     SELECT query_id, item, document_id, rank AS old, document_id IS NOT DISTINCT FROM first_value(document_id) OVER (PARTITION BY query_id ORDER BY n DESC, seen, rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS is_top
     FROM (SELECT *, count(*) OVER (PARTITION BY query_id, document_id) AS n, min(rank) OVER (PARTITION BY query_id, document_id) AS seen FROM {source}))) WHERE rank <= {k}"""
-
-
-def last_window(df: DataFrame, key: str, order: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")
