@@ -84,13 +84,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             values, keys = signatures(part.column("text"))
-            wide = values.astype(np.uint64)
+            # minima of a long text are small numbers, whose upper bits are all 0: scrambled, any of their bits tell them apart
+            wide = mix(values.astype(np.uint64))
             picked = wide[:, _orders]  # texts x trees x depth
             region = np.zeros(picked.shape[:2], dtype=np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
             for j in range(LEAST_DEPTH):
                 region = mix(region * np.uint64(5) + picked[:, :, j])
-            order = ((picked[:, :, LEAST_DEPTH] >> np.uint64(11)) << np.uint64(42)) | ((picked[:, :, LEAST_DEPTH + 1] >> np.uint64(11)) << np.uint64(21)) | (picked[:, :, LEAST_DEPTH + 2] >> np.uint64(11))
-            short = (values >> np.uint32(16)).astype(np.uint16)
+            order = ((picked[:, :, LEAST_DEPTH] >> np.uint64(43)) << np.uint64(42)) | ((picked[:, :, LEAST_DEPTH + 1] >> np.uint64(43)) << np.uint64(21)) | (picked[:, :, LEAST_DEPTH + 2] >> np.uint64(43))
+            short = wide.astype(np.uint16)
             n = len(keys)
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * TREES, pa.int32()), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(

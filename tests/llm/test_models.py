@@ -164,6 +164,19 @@ def test_near_odd_rows(odd, empty):
     assert near.near_groups(empty).count() == 0 and near.deduplicate(empty).count() == 0
 
 
+def test_long_texts_that_share_little_stay(spark):
+    r = np.random.default_rng(6)
+    text = lambda common: " ".join([*common, *(f"w{x}" for x in r.integers(0, 1 << 40, 100_000 - len(common)))])
+    few, many = [f"few{i}" for i in range(300)], [f"many{i}" for i in range(40_000)]
+    docs = pa.record_batch({"doc_id": [0, 1], "text": [text(few), text(few)]})
+    a, b = (x for part in near._sketch([docs]) for x in part.column("signature").to_pylist())
+    (got,) = near._agreement([pa.record_batch({"a": [b"a"], "b": [b"b"], "sa": [a], "sb": [b]})])
+    assert got.column("similarity")[0].as_py() < 0.1, got
+    # of a similarity of 0.25, so that most meet as candidates
+    df = spark.createDataFrame([(i, text(many)) for i in range(4)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in near.deduplicate(df).collect()} == {0, 1, 2, 3}
+
+
 # ---- secrets ----
 
 
