@@ -1,8 +1,8 @@
 """Secret scans by grammar inference.
 
 Each credential format is learned from labelled examples as a probabilistic automaton (see ``automata``), and so is
-ordinary text from labelled words. Every candidate, that is every whole run of at least ``LEAST`` credential characters,
-is scored under all of them. A candidate is a secret of format f if f is the likeliest of all automata including that of
+ordinary text from labelled words. Every candidate, that is every run of at least ``LEAST`` credential characters and
+every part of it between delimiters, is scored under all of them; of candidates that overlap the likeliest is reported. A candidate is a secret of format f if f is the likeliest of all automata including that of
 ordinary words, and if its likelihood per character is no lower than nearly all held-out examples of f reach. The second
 condition rejects what merely resembles f more than words do, such as long numbers.
 
@@ -10,16 +10,19 @@ Symbols are the printable ASCII characters. The examples are generated from publ
 ``train`` accepts other labelled rows instead.
 
 Cases. Null, empty and candidate-free texts have no findings. A null ``doc_id`` is kept as null. Repeated rows report the
-same findings each. Runs of any length are scored whole. A candidate of equal likelihood under two formats gets the first
+same findings each. Runs of any length are scored whole. A part of base64 that
+lies between other random text is not a secret. A candidate of equal likelihood under two formats gets the first
 by name. An empty table gives an empty result. Other columns are not read; ``redact`` returns them untouched and only
 replaces the found characters by ``[SECRET]`` (and, where the table has ``n_chars``, updates it).
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +45,8 @@ MARK = "[SECRET]"
 
 _candidate = re.compile(r"(?<![^\W_])[A-Za-z0-9_+/=\-.]{%d,}" % LEAST)
 _word = re.compile(r"[^\W\d_]")
+_breaks = re.compile(r"[=/.+\-]+")
+_before, _after = re.compile(r"[A-Za-z0-9+/]*$"), re.compile(r"[A-Za-z0-9+/]*")
 _hex, _lower = "0123456789abcdef", string.ascii_lowercase
 _rates = [8, 1.5, 3, 4.5, 13, 2, 2.2, 4.5, 7, 0.3, 1, 4.5, 2.7, 7.5, 6, 2, 0.3, 6.5, 6.5, 8, 3.5, 1, 1.7, 0.2, 1.2, 0.6]
 _alnum = string.ascii_letters + string.digits
@@ -100,52 +105,118 @@ class Scanner:
     names: list[str]
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     limits: list[float]
+    #: The length of the longest example; parts of a run are scored up to it, see ``candidates``.
+    reach: int
 
-    def likelihoods(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood per symbol, the end counted as one (automata x texts), all texts in step."""
-        length = np.array([len(t) for t in texts])
+    def likelihoods(self, texts: list[str], lengths: list[list[int]] | None = None) -> np.ndarray:
+        """Log likelihood per symbol, the end counted as one (automata x texts), all texts in step; with ``lengths``, of
+        the beginnings of each text that have these lengths (automata x all of them)."""
+        length = np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(-length, kind="stable")
         codes = np.zeros((len(texts), length.max(initial=0)), dtype=np.int32)
         for row, i in enumerate(order):
             codes[row, : length[i]] = np.frombuffer(texts[i].encode("ascii"), dtype=np.uint8).astype(np.int32) - FIRST
         live = np.searchsorted(-length[order], -np.arange(codes.shape[1]), side="left")
-        out = np.zeros((len(self.names), len(texts)))
+        row_of = np.empty(len(texts), dtype=np.int64)
+        row_of[order] = np.arange(len(texts))
+        rows = row_of if lengths is None else np.repeat(row_of, [len(x) for x in lengths])
+        stops = length if lengths is None else np.array([n for x in lengths for n in x], dtype=np.int64)
+        by = np.argsort(stops, kind="stable")
+        cuts = np.searchsorted(stops[by], np.arange(codes.shape[1] + 2))
+        out = np.zeros((len(self.names), len(stops)))
         for k, (to, log, end) in enumerate(self.tables):
             state, total = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts))
+            out[k, by[: cuts[1]]] = end[0]
             for j, n in enumerate(live):
                 total[:n] += log[state[:n], codes[:n, j]]
                 state[:n] = to[state[:n], codes[:n, j]]
-            out[k, order] = total + end[state]
-        return out / (length + 1)
-
-    def classify(self, texts: list[str]) -> list[tuple[str, float] | None]:
-        """The format and its likelihood per symbol for secrets, else None."""
-        found: list[tuple[str, float] | None] = []
-        for start in range(0, len(texts), 4096):
-            part = texts[start : start + 4096]
-            scores = self.likelihoods(part)
-            for i, best in enumerate(scores.argmax(axis=0)):
-                ok = self.names[best] != "word" and scores[best, i] >= self.limits[best]
-                found.append((self.names[best], float(scores[best, i])) if ok else None)
-        return found
+                at = by[cuts[j + 1] : cuts[j + 2]]
+                out[k, at] = total[rows[at]] + end[state[rows[at]]]
+        return out / (stops + 1)
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """start, length, format, likelihood of each secret."""
-        spans = candidates(text)
-        return [(a, b - a, *hit) for (a, b), hit in zip(spans, self.classify([text[a:b] for a, b in spans])) if hit]
-
-
-def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of the runs of credential characters that no letter or digit adjoins, without dots at their ends."""
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+        """start, length, format, likelihood of the secrets of each text, in order."""
+        asked = [(i, a, stops) for i, text in enumerate(texts) for a, stops in candidates(text, self.reach)]
+        asked.sort(key=lambda x: x[2][-1])
+        # where a format has / or +, a part between two of them may be a path or a piece of a longer random text
+        alphabets = [{chr(c + FIRST) for c in np.flatnonzero((to < len(to) - 1).any(axis=0))} for to, _, _ in self.tables]
+        mixed = [bool(x & set("/+")) for x in alphabets]
+        hits: list[list[tuple[float, int, int, int, float]]] = [[] for _ in texts]
+        start = 0
+        while start < len(asked):
+            stop = start + 1
+            while stop < len(asked) and stop - start < 4096 and asked[stop][2][-1] * (stop - start) < 1 << 20:
+                stop += 1
+            part = asked[start:stop]
+            scores = self.likelihoods([texts[i][a : a + s[-1]] for i, a, s in part], [s for _, _, s in part])
+            best = scores.argmax(axis=0)
+            spans = [(i, a, n) for i, a, s in part for n in s]
+            value = scores[best, np.arange(len(best))]
+            for x in np.flatnonzero(value >= np.array(self.limits)[best]):
+                (i, a, n), k, v = spans[x], int(best[x]), float(value[x])
+                if self.names[k] != "word" and (not mixed[k] or _alone(texts[i], a, a + n)):
+                    # what the span gains over symbols that are all equally likely, so that junk at its ends loses
+                    hits[i].append(((v + math.log(SYMBOLS + 1)) * (n + 1), a, n, k, v))
+            start = stop
+        out = []
+        for text, found in zip(texts, hits):
+            taken: list[tuple[int, int, str, float]] = []
+            for _, a, n, k, v in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+                # a rare symbol near an end makes a part gain more than the whole, so it is widened to the whole
+                a, n, v = max(((b, m, w) for _, b, m, f, w in found if f == k and not mixed[k] and b <= a and b + m >= a + n and alphabets[k].issuperset(text[b : b + m])), key=lambda x: x[1], default=(a, n, v))
+                if all(a + n <= b or b + m <= a for b, m, _, _ in taken):
+                    taken.append((a, n, self.names[k], v))
+            out.append(sorted(taken))
+        return out
+
+
+def _random(text: str) -> bool:
+    """Whether text changes between upper case, lower case and digits as often as random text does and words do not."""
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 for c in text if c.isalnum()]
+    return len(kinds) >= 8 and sum(x != y for x, y in zip(kinds, kinds[1:])) > 0.4 * (len(kinds) - 1)
+
+
+def _alone(text: str, a: int, b: int) -> bool:
+    """Whether a span looks random and what adjoins it does not."""
+    return _random(text[a:b]) and not _random(_before.search(text[max(0, a - 32) : a])[0]) and not _random(_after.match(text[b : b + 32])[0])
+
+
+def candidates(text: str | None, reach: int) -> list[tuple[int, list[int]]]:
+    """Starts of possible secrets and, for each, their possible lengths in ascending order.
+
+    A secret lies within a run of credential characters. It starts where the run does or after one of ``= / . + -``, and
+    ends where the run does or before one of them; no letter or digit adjoins it. Where ``@`` follows, it is a user's name
+    in an address unless it starts after one of ``/ : =``. Spans of up to ``reach`` characters are candidates; of longer
+    ones, the whole run and what lies between two of ``= / +``.
+    """
     out = []
     for m in _candidate.finditer(text or ""):
         a, b = m.span()
-        if b < len(text) and (text[b] == "@" or _word.match(text[b])):
-            continue
-        while b > a and text[b - 1] == ".":
-            b -= 1
-        if b - a >= LEAST:
-            out.append((a, b))
+        run = text[a:b]
+        # a secret may itself start or end with one of several delimiters in a row
+        breaks = [x.span() for x in _breaks.finditer(run)]
+        starts = sorted({0, *(p for x, y in breaks for p in (x + 1, y) if p < len(run))})
+        ends = sorted({p for x, y in breaks for p in (x, y - 1)})
+        next_text = text[b : b + 1]
+        whole = len(run.rstrip(".")) if not (next_text == "@" or _word.match(next_text)) else -1
+        if whole > 0:
+            ends = sorted({*ends, whole, len(run)})
+        hard = [x.start() for x in re.finditer(r"[=/+]", run)] + [len(run)]
+        for s in starts:
+            lengths = {e - s for e in ends[bisect_left(ends, s + LEAST) : bisect_right(ends, s + reach)]}
+            if s == 0 and whole >= LEAST:
+                lengths.add(whole)
+            if s == 0 or run[s - 1] in "=/+":
+                e = hard[bisect_left(hard, s)]
+                lengths |= {e - s} if e - s >= LEAST and (e < len(run) or whole > 0) else set()
+            if next_text == "@" and len(run) - s >= LEAST and (a + s and text[a + s - 1] in "/:="):
+                lengths.add(len(run) - s)
+            if lengths:
+                out.append((a + s, sorted(lengths)))
     return out
 
 
@@ -154,7 +225,7 @@ def train(labelled: dict[str, list[str]] | None = None, held_out: dict[str, list
     labelled = labelled or examples(EXAMPLES)
     held_out = held_out or examples(HELD_OUT, seed=8)
     names = sorted(labelled)
-    scanner = Scanner(names, [Automaton.infer([_symbols(x) for x in labelled[n]]).tables(SYMBOLS) for n in names], [-np.inf] * len(names))
+    scanner = Scanner(names, [Automaton.infer([_symbols(x) for x in labelled[n]]).tables(SYMBOLS) for n in names], [-np.inf] * len(names), max((len(x) for n in names for x in labelled[n] if n != "word"), default=0))
     for k, n in enumerate(names):
         scores = scanner.likelihoods(held_out[n])[k] if held_out.get(n) else scanner.likelihoods(labelled[n])[k]
         scanner.limits[k] = float(np.quantile(scores, MISSED)) - MARGIN
@@ -171,13 +242,8 @@ def findings(docs: DataFrame, scanner: Scanner) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                at, spans, strings = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    for a, b in candidates(text):
-                        at.append(i)
-                        spans.append((a, b))
-                        strings.append(text[a:b])
-                hits = [(i, a, b - a, *hit) for i, (a, b), hit in zip(at, spans, scanner.classify(strings)) if hit]
+                found = scanner.scan_all(part.column("text").to_pylist())
+                hits = [(i, *hit) for i, of_text in enumerate(found) for hit in of_text]
                 cols = list(zip(*hits)) or [[], [], [], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64())],
@@ -196,8 +262,8 @@ def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                for i, text in enumerate(texts):
-                    for a, n, *_ in reversed(scanner.scan(text)) if text else ():
+                for i, found in enumerate(scanner.scan_all(texts)):
+                    for a, n, *_ in reversed(found):
                         texts[i] = texts[i][:a] + MARK + texts[i][a + n :]
                 columns = list(part.columns)
                 columns[names.index("text")] = pa.array(texts, part.column("text").type)

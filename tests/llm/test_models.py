@@ -194,6 +194,26 @@ def test_every_format_is_found_and_words_are_not(scanner):
         assert hit < 0.025 if name == "word" else hit > 0.97, (name, hit)
 
 
+@pytest.mark.parametrize("form", ["API_KEY={}", "export KEY={};", "https://x.org/a?access_token={}&b=1", "backup/keys/{}", "https://x.org/keys/{}/info", "https://{}@x.org/a", "+{}", "- -{}", "a.b={}é", "config.{}"])
+def test_parts_of_runs(scanner, form):
+    before = form.index("{}")
+    for name, strings in secrets.examples(60, seed=98).items():
+        if name != "word":
+            strings = strings if form != "a.b={}é" else [s + "/" for s in strings]
+            found = scanner.scan_all([form.format(s) for s in strings])
+            same = [any((a, n) == (before, len(s.rstrip("/"))) for a, n, *_ in f) for f, s in zip(found, strings)]
+            assert sum(same) > 0.93 * len(same), (name, sum(same))
+
+
+def test_words_paths_and_long_base64_are_no_secrets(scanner):
+    r = random.Random(8)
+    blob = "".join(r.choice(secrets._alnum + "+/") for _ in range(20_000))
+    assert len(scanner.scan(f"data:image/png;base64,{blob}==")) <= 2
+    words = [w for w in secrets.examples(300, seed=97)["word"] if w.isalpha()]
+    texts = [f"https://x.org/{a.lower()}/{b.lower()}.html?page={c}" for a, b, c in zip(words, words[1:], words[2:])]
+    assert sum(map(bool, scanner.scan_all(texts))) < 0.025 * len(texts)
+
+
 def test_scan_and_redact(spark, scanner):
     key = "AKIA" + "Q2W3E4R5T6Y7U2I3"
     df = spark.createDataFrame([(1, f'é key="{key}" and {key}.', 0), (2, "nothing here", 0)], "doc_id bigint, text string, n_chars bigint")
