@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
+Queries are the rows whose id is divisible by ``EVERY``; they are searched among all rows.
+
 Every tree has one random direction per depth (orthonormal within the tree) and splits each node at the median of its
-vectors' projections, learned from a sample of ``SAMPLE`` rows. Every row is a member of one leaf per tree and a query:
-one priority queue over all trees holds the branches not taken, by the sum of the squared distances to the planes that
+vectors' projections, learned from a sample of ``SAMPLE`` rows. Every row is a member of one leaf per tree. One priority
+queue over all trees holds the branches that a query hasn't taken, by the sum of the squared distances to the planes that
 lie between, and gives the query the leaves of the whole forest in the order of that distance, up to a radius. The radius
 is learned: among rows of the sample, the share ``RECALL`` of the true neighbours lie within it in some tree. So queries
 ask few leaves where the vectors have structure and many where they have none, at any size; in a larger table neighbours
-are nearer than in the sample, which errs on the safe side. Members and queries meet by a shuffle on (tree, leaf); there
-all similarities are exact, and each query's best of every leaf are merged.
+are nearer than in the sample, which errs on the safe side.
 
-Neither an index nor a table of candidates is sent to all tasks: only the directions and medians are, whose size depends
-on the depth, which the sample bounds.
+Members and queries meet by a shuffle on the leaf. A leaf that holds more than ``BLOCK`` members, as one with a third of
+all rows equal may, is cut into blocks, and its queries go to each of them: a task holds one block of members and streams
+the queries past it, so that its memory depends on neither the leaf nor the table. All candidates of a leaf that might be
+among its best are compared again in double precision, and each query's best of every leaf are merged. Sent to all tasks
+are the directions, the medians and the number of blocks of each leaf, whose size depends on the depth alone, which the
+sample bounds.
 
-Similarity is the cosine. Cases. Rows with a null id, or whose vector is null, empty, zero, not finite or of another
-length than most, are neither queries nor neighbours. Rows of equal id are one item; the best similarity counts. An item
-is no neighbour of itself. Ties go to the lesser id. With fewer than ``k`` others there are fewer rows. An empty table
-gives an empty result. Other columns are not read.
+Similarity is the cosine, rounded to ``DIGITS`` digits. Cases. Rows with a null id, or whose vector is null, empty, zero,
+not finite or of another length than most, are neither queries nor neighbours. Rows of equal id are one item, whether
+their vectors are equal or not; the best similarity counts. An item is no neighbour of itself. Ties go to the lesser id.
+With fewer than ``k`` others there are fewer rows. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.runs import group_starts, whole_keys
+from corpusflow.llm.text import mix
 from corpusflow.session import materialize
 
 NEIGHBOURS = 10
+EVERY = 50
 TREES = 4
-LEAF = 2048
+#: Members that a leaf holds on average, until the sample bounds the depth, and members that one task holds at once.
+LEAF = 128
+BLOCK = 8192
+DIGITS = 6
+#: Candidates of single precision that may be wrong by this much are compared again.
+SLACK = 1e-5
 RECALL = 0.95
 #: Rows of the sample whose true neighbours in it set the radius.
 CALIBRATION = 512
@@ -129,7 +141,7 @@ class Forest:
 
 
 def unit_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, int]:
-    """id, x (bytes of a float32 unit vector) of the usable rows, and the vectors' length."""
+    """id, x (bytes of a float32 unit vector) of the usable rows, equal rows once, and the vectors' length."""
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(column).cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
     usual = rows.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
     width = usual[0]["w"] if usual else 1
@@ -143,73 +155,119 @@ def unit_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
             x = (x[ok] / norm[ok, None]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "x"])
 
-    return rows.where(F.size("v") == width).mapInArrow(run, "id bigint, x binary"), width
+    return rows.where(F.size("v") == width).mapInArrow(run, "id bigint, x binary").dropDuplicates(["id", "x"]), width
+
+
+def best(who: np.ndarray, asked: np.ndarray, ids: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, neighbour and similarity of the ``k`` best items of each query row; ``ids`` ascend and may repeat."""
+    items = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    s = asked @ members.T
+    s[who[:, None] == ids[None, :]] = -9
+    by_item = s if len(items) == len(ids) else np.maximum.reduceat(s, items, axis=1)
+    n = min(k, by_item.shape[1])
+    last = -np.partition(-by_item, n - 1, axis=1)[:, n - 1]
+    row, col = np.nonzero((s >= last[:, None] - SLACK) & (s > -2))
+    exact = np.empty(len(row))
+    for start in range(0, len(row), 1 << 15):
+        part = slice(start, start + (1 << 15))
+        exact[part] = np.einsum("ij,ij->i", asked[row[part]].astype(np.float64), members[col[part]].astype(np.float64))
+    return ranked(row, ids[col], exact.round(DIGITS), k, who)
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vec_id, rank from 1, neighbour_id, similarity: the ``k`` nearest found of every row."""
+def ranked(row: np.ndarray, near: np.ndarray, score: np.ndarray, k: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best different neighbours of every row, best first, ties by the lesser id."""
+    order = np.lexsort((-score, near, row))
+    row, near, score = row[order], near[order], score[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (near[1:] != near[:-1])
+    row, near, score = row[first], near[first], score[first]
+    order = np.lexsort((near, -score, row))
+    row, near, score = row[order], near[order], score[order]
+    ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return who[row[ok]], near[ok], score[ok]
+
+
+def nearest(
+    vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL,
+    block: int = BLOCK, id_column: str = "vec_id", column: str = "embedding",
+) -> DataFrame:
+    """vec_id, rank from 1, neighbour_id, similarity: the ``k`` nearest found of every row whose id ``every`` divides."""
     spark = vectors.sparkSession
     units, width = unit_vectors(vectors, id_column, column)
     units = materialize(units, "ann-units")
-    sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()
+    sample = units.orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE).select("x").toArrow()
     x = _matrix(sample.column("x"), width)
-    forest = spark.sparkContext.broadcast(Forest.build(x, units.count(), trees, leaf).calibrate(x, k, recall))
+    forest = Forest.build(x, units.count(), trees, leaf).calibrate(x, k, recall)
+    size = 1 << forest.depth
+    shared = spark.sparkContext.broadcast(forest)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        total = np.zeros(trees * size, dtype=np.int64)
+        for batch in batches:
+            x = _matrix(batch.column("x"), width)
+            total += np.bincount((np.arange(trees) * size + f.leaves(f.project(x))).ravel(), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["leaf", "n"])
+
+    counted = units.mapInArrow(homes, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    blocks = np.ones(trees * size, dtype=np.int64)
+    blocks[counted.column("leaf").to_numpy()] = -(-counted.column("n").to_numpy() // block)
+    first_cell = spark.sparkContext.broadcast(np.concatenate([[0], np.cumsum(blocks)]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = forest.value
+        f, cells = shared.value, first_cell.value
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                p = f.project(_matrix(batch.column("x"), width))
-                home = f.leaves(p)
-                row, tree, node, query = [], [], [], []
-                for i in range(batch.num_rows):
-                    asked = f.probes(p[i])
-                    row += [i] * (len(asked) + trees)
-                    tree += [*range(trees), *(t for t, _ in asked)]
-                    node += [*home[i].tolist(), *(n for _, n in asked)]
-                    query += [False] * trees + [True] * len(asked)
-                out = batch.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int32()), pa.array(query), *out.columns], names=["tree", "leaf", "query", "id", "x"])
-
-    def search(table: pa.Table) -> pa.Table:
-        asks = table.column("query").to_numpy()
-        ids, x = table.column("id").to_numpy(), _matrix(table.column("x"), width)
-        own, members = ids[~asks], np.ascontiguousarray(x[~asks].T)
-        who, asked = ids[asks], x[asks]
-        found, near, score = [], [], []
-        for start in range(0, len(who), 512):
-            s = asked[start : start + 512] @ members
-            q = who[start : start + 512]
-            # k others and perhaps the query itself; rows of equal id could hide others, so all of equal id are masked
-            s[q[:, None] == own[None, :]] = -9
-            n = min(k, s.shape[1])
-            if not n:
-                continue
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            value = np.take_along_axis(s, best, axis=1)
-            ok = value > -2
-            found.append(np.repeat(q, n).reshape(-1, n)[ok])
-            near.append(own[best][ok])
-            score.append(value[ok])
-        cat = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-        return pa.table({"q": pa.array(cat(found, np.int64)), "n": pa.array(cat(near, np.int64)), "s": pa.array(cat(score, np.float32))})
+                x = _matrix(batch.column("x"), width)
+                p = f.project(x)
+                home = np.arange(trees) * size + f.leaves(p)
+                ids = batch.column("id").to_numpy()
+                # any spread will do that is the same when a task runs again
+                spread = mix(ids.view(np.uint64) ^ (x.view(np.uint32).astype(np.uint64) * np.arange(1, 2 * width, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+                own = cells[home] + (spread[:, None] % (cells[home + 1] - cells[home]).astype(np.uint64)).astype(np.int64)
+                row, cell, query = [np.repeat(np.arange(len(x)), trees)], [own.ravel()], [np.zeros(own.size, dtype=bool)]
+                for i in np.flatnonzero(ids % every == 0):
+                    asked = np.array([t * size + n for t, n in f.probes(p[i])], dtype=np.int64)
+                    places = np.concatenate([np.arange(cells[a], cells[a + 1]) for a in asked])
+                    row.append(np.full(len(places), i))
+                    cell.append(places)
+                    query.append(np.ones(len(places), dtype=bool))
+                out = batch.take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell)), pa.array(np.concatenate(query)), *out.columns], names=["cell", "query", "id", "x"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, members before queries: only one cell's members are held."""
+        now, held, members = None, [], None
+        for batch in batches:
+            cell, query = batch.column("cell").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
+            starts = group_starts(pa.table({"c": cell, "q": query.astype(np.int8)}), ["c", "q"])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if cell[a] != now:
+                    now, held, members = cell[a], [], None
+                part = batch.slice(a, b - a)
+                ids, x = part.column("id").to_numpy(), _matrix(part.column("x"), width)
+                if not query[a]:
+                    held.append((ids, x))
+                    continue
+                if not held:
+                    continue
+                if members is None:
+                    every_id = np.concatenate([i for i, _ in held])
+                    order = np.argsort(every_id, kind="stable")
+                    members = every_id[order], np.concatenate([v for _, v in held])[order]
+                for start in range(0, len(ids), 256):
+                    q, n, s = best(ids[start : start + 256], x[start : start + 256], *members, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(s)], names=["q", "n", "s"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_keys(batches, ["q"]):
-            q, n, s = (table.column(c).to_numpy() for c in ("q", "n", "s"))
-            order = np.lexsort((-s, n, q))
-            q, n, s = q[order], n[order], s[order]
-            first = np.ones(len(q), dtype=bool)
-            first[1:] = (q[1:] != q[:-1]) | (n[1:] != n[:-1])
-            q, n, s = q[first], n[first], s[first]
-            order = np.lexsort((n, -s, q))
-            q, n, s = q[order], n[order], s[order]
-            starts = group_starts(pa.table({"q": q}), ["q"])[:-1]
-            rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) + 1
-            ok = rank <= k
-            yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(rank[ok].astype(np.int32)), pa.array(n[ok]), pa.array(s[ok].astype(np.float64))], names=["vec_id", "rank", "neighbour_id", "similarity"])
-
-    placed = units.mapInArrow(place, "tree int, leaf int, query boolean, id bigint, x binary")
-    hits = placed.groupBy("tree", "leaf").applyInArrow(search, "q bigint, n bigint, s float")
+            who, row = np.unique(table.column("q").to_numpy(), return_inverse=True)
+            q, n, s = ranked(row, table.column("n").to_numpy(), table.column("s").to_numpy(), k, who)
+            rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(n), pa.array(s)], names=["vec_id", "rank", "neighbour_id", "similarity"])
+
+    placed = units.mapInArrow(place, "cell bigint, query boolean, id bigint, x binary")
+    hits = placed.repartition("cell").sortWithinPartitions("cell", "query").mapInArrow(search, "q bigint, n bigint, s double")
     return hits.repartition("q").sortWithinPartitions("q").mapInArrow(merge, "vec_id bigint, rank int, neighbour_id bigint, similarity double")
