@@ -91,7 +91,8 @@ _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 20)
         for k, base in enumerate((_P, _INVERSE)):
@@ -127,7 +128,7 @@ def word_hashes(texts: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(ends), dtype=np.int64)
-    power, inverse = _power_tables(len(letters) + 1)
+    power, inverse = power_tables(len(letters) + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data[letters].astype(np.uint64) + np.uint64(1)) * power[: len(letters)], dtype=np.uint64)])
     stops = np.append(starts[1:], len(letters))
     hashes = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
