@@ -177,6 +177,47 @@ def test_long_texts_that_share_little_stay(spark):
     assert {r["doc_id"] for r in near.deduplicate(df).collect()} == {0, 1, 2, 3}
 
 
+def test_pairs_in_a_crowd_are_all_found(spark):
+    """Texts on one template that are not near each other by themselves, with pairs among them that are."""
+    local = random.Random(7)
+    template = [word() for _ in range(70)]
+    own = lambda n: [f"{word()}{local.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(400):
+        words = template + own(60)
+        docs.append((2 * i, " ".join(words)))
+        docs.append((2 * i + 1, " ".join(words[:110] + own(20) if i % 4 == 0 else template + own(60))))
+    shingles = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in docs}
+    share = lambda i, j: len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
+    assert share(0, 1) > 0.65 and 0.33 < share(0, 2) < 0.42
+    # signatures estimate similarities; the threshold lies between the crowd's and the pairs' by several deviations
+    rows = near.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), 0.57).collect()
+    assert {(r["doc_id"], r["rep_id"]) for r in rows} == {(i, i - (i % 8 == 1)) for i, _ in docs}
+    assert {r["doc_id"]: r["links"] for r in rows} == {i: int(i % 8 in (0, 1)) for i, _ in docs}
+
+
+def test_rest_is_what_neighbours_miss(spark, monkeypatch):
+    """Without neighbours, the comparison of groups within regions finds the same groups."""
+    docs, _ = variants(spark)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    want = {r["doc_id"]: r["rep_id"] for r in near.near_groups(df).collect()}
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "REACH", 0)
+    monkeypatch.setattr(near, "candidate_pairs", lambda vertices: vertices.sparkSession.createDataFrame([], "a binary, b binary"))
+    assert {r["doc_id"]: r["rep_id"] for r in near.near_groups(df).collect()} == want
+
+
+@pytest.mark.parametrize("words", [20_000, 200_000])
+def test_very_long_texts_equal_brute_force(spark, words):
+    """Documents of which 0, 40 and 90 % are common: only the last pair is near."""
+    r = np.random.default_rng(words)
+    own = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    base = own(words)
+    docs = [(0, base), (1, own(words)), (2, base[: words * 2 // 5] + own(words * 3 // 5)), (3, base[: words * 9 // 10] + own(words // 10))]
+    rows = near.near_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["rep_id"], r["links"]) for r in rows} == {0: (0, 1), 1: (1, 0), 2: (2, 0), 3: (0, 1)}
+
+
 # ---- secrets ----
 
 
