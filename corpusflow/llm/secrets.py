@@ -7,7 +7,9 @@ ordinary words, and if its likelihood per character is no lower than nearly all
 condition rejects what merely resembles f more than words do, such as long numbers.
 
 Symbols are the printable ASCII characters. The examples are generated from public format descriptions with a fixed seed;
-``train`` accepts other labelled rows instead.
+``train`` accepts other labelled rows instead. Hexadecimal digits alone are as often a commit or a checksum, which no
+grammar tells apart, so they count only after a word such as ``key`` or ``token`` (``NAMED``). A private key is judged by
+its first line, whose blanks are read as ``_``, and reaches to its last one.
 
 Cases. Null, empty and candidate-free texts have no findings. A null ``doc_id`` is kept as null. Repeated rows report the
 same findings each. Runs of any length are scored whole. A part of base64 that
@@ -25,6 +27,7 @@ import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +43,21 @@ HELD_OUT = 200
 #: Share of held-out examples of a format that may fall under its limit, and a margin in nats per character.
 MISSED = 0.005
 MARGIN = 0.15
+#: Nats per character by which a format must at least be likelier than symbols that are all equally likely.
+GAIN = 0.1
 FIRST, SYMBOLS = 33, 94
 MARK = "[SECRET]"
+PRIVATE = "private_key"
 
 _candidate = re.compile(r"(?<![^\W_])[A-Za-z0-9_+/=\-.]{%d,}" % LEAST)
 _word = re.compile(r"[^\W\d_]")
 _breaks = re.compile(r"[=/.+\-]+")
+_private = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_body, _last = re.compile(r"[A-Za-z0-9+/=:,.\\\s-]*?(?=-----END )|[A-Za-z0-9+/=\\\s]*"), re.compile(r"-----END [A-Z0-9 ]{0,60}-----")
+#: What hexadecimal digits must follow within three words, and what they must not follow at once.
+NAMED = re.compile(r"(?i)(key|secret|token|passw|pwd|auth|cred|bearer|access|session|salt|private)[^\W_]*([\W_]+[^\W_]+){0,2}[\W_]*$")
+UNNAMED = re.compile(r"(?i)(commit|sha[-_]?\d*|md5|checksum|digest|etag|revision|rev|blob|tree|hash|integrity|fingerprint)[\W_]*$")
+_digest = re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])")
 _before, _after = re.compile(r"[A-Za-z0-9+/]*$"), re.compile(r"[A-Za-z0-9+/]*")
 _hex, _lower = "0123456789abcdef", string.ascii_lowercase
 _rates = [8, 1.5, 3, 4.5, 13, 2, 2.2, 4.5, 7, 0.3, 1, 4.5, 2.7, 7.5, 6, 2, 0.3, 6.5, 6.5, 8, 3.5, 1, 1.7, 0.2, 1.2, 0.6]
@@ -60,6 +72,9 @@ def examples(count: int, seed: int = 7) -> dict[str, list[str]]:
     syllables = [a + b + c for a in "bcdfghlmnprst" for b in "aeiou" for c in ("", "n", "r", "s", "ng", "tion", "th")]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(3, 9)))
 
+    # lengths without memory, so that one state can stand for all symbols of a part of any length
+    tail = lambda mean: min(120, int(rng.expovariate(1 / mean)))
+
     def ordinary() -> str:
         kind = rng.random()
         if kind < 0.45:
@@ -89,6 +104,8 @@ def examples(count: int, seed: int = 7) -> dict[str, list[str]]:
         "hex_40_upper": lambda: pick(_hex.upper(), 40),
         "hex_64": lambda: pick(_hex, 64),
         "base64_40": lambda: pick(_alnum + "+/", 40),
+        "api_key_dashed": lambda: rng.choice(["sk-proj-", "sk-ant-", "sk-or-", "sk-svcacct-"]) + pick(_url, 24 + tail(30)) + pick(_alnum, 1),
+        "private_key": lambda: f"-----BEGIN_{rng.choice(['', 'RSA_', 'EC_', 'DSA_', 'OPENSSH_', 'ENCRYPTED_', 'PGP_'])}PRIVATE_KEY{rng.choice(['', '', '_BLOCK'])}-----",
     }
     out = {"word": [ordinary() for _ in range(4 * count)]}
     for name, make in makers.items():
@@ -141,6 +158,7 @@ class Scanner:
     def scan_all(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """start, length, format, likelihood of the secrets of each text, in order."""
         asked = [(i, a, stops) for i, text in enumerate(texts) for a, stops in candidates(text, self.reach)]
+        keys = [self.private_keys(text) for text in texts]
         asked.sort(key=lambda x: x[2][-1])
         # where a format has / or +, a part between two of them may be a path or a piece of a longer random text
         alphabets = [{chr(c + FIRST) for c in np.flatnonzero((to < len(to) - 1).any(axis=0))} for to, _, _ in self.tables]
@@ -158,13 +176,17 @@ class Scanner:
             value = scores[best, np.arange(len(best))]
             for x in np.flatnonzero(value >= np.array(self.limits)[best]):
                 (i, a, n), k, v = spans[x], int(best[x]), float(value[x])
-                if self.names[k] != "word" and (not mixed[k] or _alone(texts[i], a, a + n)):
+                fits = alphabets[k].issuperset(texts[i][a : a + n]) and (not mixed[k] or _alone(texts[i], a, a + n))
+                if fits and self.names[k].startswith("hex_"):
+                    context = texts[i][max(0, a - 48) : a]
+                    fits = bool(NAMED.search(context)) and not UNNAMED.search(context)
+                if fits and self.names[k] not in ("word", PRIVATE):
                     # what the span gains over symbols that are all equally likely, so that junk at its ends loses
                     hits[i].append(((v + math.log(SYMBOLS + 1)) * (n + 1), a, n, k, v))
             start = stop
         out = []
-        for text, found in zip(texts, hits):
-            taken: list[tuple[int, int, str, float]] = []
+        for text, found, whole in zip(texts, hits, keys):
+            taken: list[tuple[int, int, str, float]] = list(whole)
             for _, a, n, k, v in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
                 # a rare symbol near an end makes a part gain more than the whole, so it is widened to the whole
                 a, n, v = max(((b, m, w) for _, b, m, f, w in found if f == k and not mixed[k] and b <= a and b + m >= a + n and alphabets[k].issuperset(text[b : b + m])), key=lambda x: x[1], default=(a, n, v))
@@ -173,6 +195,20 @@ class Scanner:
             out.append(sorted(taken))
         return out
 
+    def private_keys(self, text: str | None) -> list[tuple[int, int, str, float]]:
+        """The private keys of a text whose first lines are likely enough: to their last line, or as far as base64 goes."""
+        found = list(_private.finditer(text or "")) if PRIVATE in self.names else []
+        if not found:
+            return []
+        k, out, after = self.names.index(PRIVATE), [], 0
+        for m, v in zip(found, self.likelihoods([m[0].replace(" ", "_") for m in found])[k]):
+            if v >= self.limits[k] and m.start() >= after:
+                body = _body.match(text, m.end()).end()
+                last = _last.match(text, body)
+                after = last.end() if last else max(m.end(), m.end() + len(text[m.end() : body].rstrip()))
+                out.append((m.start(), after - m.start(), PRIVATE, float(v)))
+        return out
+
 
 def _random(text: str) -> bool:
     """Whether text changes between upper case, lower case and digits as often as random text does and words do not."""
@@ -181,8 +217,8 @@ def _random(text: str) -> bool:
 
 
 def _alone(text: str, a: int, b: int) -> bool:
-    """Whether a span looks random and what adjoins it does not."""
-    return _random(text[a:b]) and not _random(_before.search(text[max(0, a - 32) : a])[0]) and not _random(_after.match(text[b : b + 32])[0])
+    """Whether a span looks random, is no path to a checksum, and what adjoins it does not look random."""
+    return _random(text[a:b]) and not _digest.search(text[a:b]) and not _random(_before.search(text[max(0, a - 32) : a])[0]) and not _random(_after.match(text[b : b + 32])[0])
 
 
 def candidates(text: str | None, reach: int) -> list[tuple[int, list[int]]]:
@@ -220,15 +256,22 @@ def candidates(text: str | None, reach: int) -> list[tuple[int, list[int]]]:
     return out
 
 
+@cache
+def _default() -> Scanner:
+    return train(examples(EXAMPLES), examples(HELD_OUT, seed=8))
+
+
 def train(labelled: dict[str, list[str]] | None = None, held_out: dict[str, list[str]] | None = None) -> Scanner:
-    """Infer one automaton per format; without arguments from ``examples``."""
+    """Infer one automaton per format; without arguments from ``examples``, once per process."""
+    if labelled is None and held_out is None:
+        return _default()
     labelled = labelled or examples(EXAMPLES)
     held_out = held_out or examples(HELD_OUT, seed=8)
     names = sorted(labelled)
     scanner = Scanner(names, [Automaton.infer([_symbols(x) for x in labelled[n]]).tables(SYMBOLS) for n in names], [-np.inf] * len(names), max((len(x) for n in names for x in labelled[n] if n != "word"), default=0))
     for k, n in enumerate(names):
         scores = scanner.likelihoods(held_out[n])[k] if held_out.get(n) else scanner.likelihoods(labelled[n])[k]
-        scanner.limits[k] = float(np.quantile(scores, MISSED)) - MARGIN
+        scanner.limits[k] = max(float(np.quantile(scores, MISSED)) - MARGIN, GAIN - math.log(SYMBOLS + 1))
     return scanner
 
 

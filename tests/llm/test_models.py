@@ -229,7 +229,9 @@ def scanner():
 def test_every_format_is_found_and_words_are_not(scanner):
     fresh = secrets.examples(150, seed=99)
     for name, strings in fresh.items():
-        found = [scanner.scan(f"the value {s} follows") for s in strings]
+        if name == secrets.PRIVATE:
+            strings = [s.replace("_", " ") for s in strings]
+        found = [scanner.scan(f"the secret value {s} follows") for s in strings]
         hit = sum(bool(f) for f in found) / len(found)
         # among "word" are runs of random capitals, which a run of base64 can look like
         assert hit < 0.025 if name == "word" else hit > 0.97, (name, hit)
@@ -237,15 +239,55 @@ def test_every_format_is_found_and_words_are_not(scanner):
 
 @pytest.mark.parametrize("form", ["API_KEY={}", "export KEY={};", "https://x.org/a?access_token={}&b=1", "backup/keys/{}", "https://x.org/keys/{}/info", "https://{}@x.org/a", "+{}", "- -{}", "a.b={}é", "config.{}"])
 def test_parts_of_runs(scanner, form):
-    before = form.index("{}")
+    plain = form
     for name, strings in secrets.examples(60, seed=98).items():
-        if name != "word":
-            strings = strings if form != "a.b={}é" else [s + "/" for s in strings]
+        form = f"secret {plain}" if name.startswith("hex_") else plain
+        before = form.index("{}")
+        if name not in ("word", secrets.PRIVATE):
+            strings = strings if not form.endswith("a.b={}é") else [s + "/" for s in strings]
             found = scanner.scan_all([form.format(s) for s in strings])
             same = [any((a, n) == (before, len(s.rstrip("/"))) for a, n, *_ in f) for f, s in zip(found, strings)]
             assert sum(same) > 0.93 * len(same), (name, sum(same))
 
 
+def test_hashes_are_no_secrets_unless_named(scanner):
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    for n in (32, 40, 64):
+        for form in ("commit {}", "see {} for the change", "md5: {}", "sha256:{}", "the key's checksum {}", "ETag: \"{}\"", "https://x.org/tree/{}"):
+            assert not scanner.scan(form.format(digits(n))), (form, n)
+        for form in ("api_key={}", "secret: {}", "token = \"{}\"", "the password is {}", "Authorization: Bearer {}"):
+            x = digits(n)
+            assert [(a, m) for a, m, *_ in scanner.scan(form.format(x))] == [(form.index("{}"), n)], (form, n)
+
+
+def test_private_keys_reach_to_their_last_line(scanner):
+    r = random.Random(4)
+    lines = ["".join(r.choice(secrets._alnum + "+/") for _ in range(64)) for _ in range(4)]
+    for kind in ("RSA ", "", "OPENSSH "):
+        key = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(lines) + f"==\n-----END {kind}PRIVATE KEY-----"
+        assert [x[:3] for x in scanner.scan(f"before\n{key}\nafter")] == [(7, len(key), secrets.PRIVATE)]
+        cut = key[: key.index("==") + 2]
+        assert [x[:3] for x in scanner.scan(cut + "\n\n(cut off)")] == [(0, len(cut), secrets.PRIVATE)]
+    assert not scanner.scan("-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----")
+
+
+def test_likelihoods_equal_brute_force(scanner):
+    """Every candidate span of texts of all kinds, walked symbol by symbol through every automaton."""
+    r = random.Random(6)
+    for _, strings in secrets.examples(4, seed=95).items():
+        text = "x=" + r.choice("/-.").join(strings)
+        for a, lengths in secrets.candidates(text, scanner.reach):
+            got = scanner.likelihoods([text[a : a + lengths[-1]]], [lengths])
+            for k, (to, log, end) in enumerate(scanner.tables):
+                for col, n in enumerate(lengths):
+                    state, total = 0, 0.0
+                    for c in text[a : a + n]:
+                        x = ord(c) - secrets.FIRST
+                        total, state = total + log[state, x], to[state, x]
+                    assert abs(got[k, col] - (total + end[state]) / (n + 1)) < 1e-9
+
+
 def test_words_paths_and_long_base64_are_no_secrets(scanner):
     r = random.Random(8)
     blob = "".join(r.choice(secrets._alnum + "+/") for _ in range(20_000))
