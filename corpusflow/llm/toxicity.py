@@ -7,7 +7,8 @@ were picked because of that same text.
 
 Cases. Null text is scored as empty text; empty text has all features at 0. A null ``doc_id`` is scored like any other
 row and stays null. Labels that are null, contradict each other or match no document are ignored. With fewer than
-``MIN_LABELS`` usable labels of either class the seed lexicon alone decides. Repeated rows are each scored and get equal
+``MIN_LABELS`` usable labels of either class the seed lexicon alone decides: the probability is the share of its words
+over ``SEED_SHARE``, at most 1. Repeated rows are each scored and get equal
 probabilities. An empty table gives an empty result. Other columns are not read; ``reject_toxic`` returns them untouched.
 """
 
@@ -31,16 +32,26 @@ MAX_LABELS = 24_000
 MIN_LABELS = 8
 FOLDS = 5
 THRESHOLD = 0.5
+SEED_SHARE = 0.02
 STEMS = (4, 5, 6)
 NEAR = 6
+LEAST_TOXIC = 3
+TOXIC_SHARE = 0.85
 #: Bytes of text handled at once, and entries that counts of terms may have before they are passed on.
 SLICE = 2 << 20
 TERMS = 200_000
 
+#: English, German, French and Spanish. A word that is an ordinary one in another of these languages (``die``, ``rat``,
+#: ``hell``, ``ass``, ``con``) is in no list: only the labels can tell what it means in a corpus.
 SEED = {
-    "insult": "idiot idiots moron morons loser losers stupid dumb dumbass scum trash clown clowns pathetic worthless disgusting fool imbecile cretin jerk creep freak pig rat vermin parasite".split(),
-    "hostile": "hate kill die shut destroy hurt beat burn choke strangle threaten".split(),
-    "profane": "damn hell crap bastard bitch ass arse bloody shit fuck fucking asshole".split(),
+    "insult": (
+        "idiot idiots moron morons loser losers stupid dumb dumbass scum clowns pathetic worthless disgusting imbecile cretin jerk creep freak vermin parasite "
+        "idioten dummkopf blödmann trottel versager vollidiot abschaum widerling missgeburt schwachkopf penner drecksack "
+        "imbécile crétin abruti débile connard connasse minable ordure raclure salope enfoiré "
+        "idiota idiotas imbécil estúpido estúpida tonto pendejo cabrón escoria gilipollas basura inútil asqueroso"
+    ).split(),
+    "hostile": "hate kill destroy choke strangle threaten hasse hassen umbringen verrecke verrecken töten vernichten tuer crève crever déteste odio matar muérete morirás".split(),
+    "profane": "damn crap bastard bitch arse shit fuck fucking asshole scheiße scheiss verdammt arschloch fotze hure wichser merde putain bordel foutre mierda joder puta coño hijoputa".split(),
 }
 SECOND = set("you your yours yourself yourselves u ur tu toi vous votre vos te ti tus usted ustedes du dich dir dein deine ihr euch".split())
 _leet = str.maketrans("013457@$!", "oieastasi")
@@ -150,7 +161,7 @@ class Model:
             self._words = Words(self.lexicon)
         x = features(texts, self._words)
         if self.trees is None:
-            return np.clip(x[:, NAMES.index("any")] / 0.02, 0, 1)
+            return np.clip(x[:, NAMES.index("any")] / SEED_SHARE, 0, 1)
         return self.isotonic.probability(self.trees.score(x))
 
 
@@ -162,14 +173,13 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, target:
         .groupBy("doc_id")
         .agg(F.min(target).alias(target), F.max(target).alias("_max"))
         .where(F.col(target) == F.col("_max"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-        .select("doc_id", target)
     )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # labels without a document must not use up the bound, so the numbers are joined before it
+    one = one.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", target)
     # the sample is bounded by a parameter, so is what is broadcast
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(one), "doc_id")
     return (
-        texts.where("text is not null")
+        texts.join(F.broadcast(one), "doc_id")
         .groupBy(F.xxhash64("text").alias("key"))
         .agg(F.first("text").alias("text"), F.min(target).alias(target), F.max(target).alias("_max"))
         .where(F.col(target) == F.col("_max"))
@@ -205,11 +215,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _choose(rows: dict[str, tuple[int, int]]) -> Lexicon:
-    """Terms seen in at least 3 toxic texts (stems: 4) and at least 12 times as likely toxic as not."""
+    """Terms seen in at least ``LEAST_TOXIC`` toxic texts (stems: one more) of which ``TOXIC_SHARE`` of their texts are."""
     lexicon = Lexicon()
     for term, (toxic, clean) in rows.items():
         stem = term.endswith("*")
-        if toxic >= 3 + stem and toxic / (toxic + clean + 0.5) > 0.85:
+        if toxic >= LEAST_TOXIC + stem and toxic / (toxic + clean + 0.5) > TOXIC_SHARE:
             (lexicon.stems if stem else lexicon.words).add(term.rstrip("*"))
     return lexicon
 
@@ -223,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> Model:
         sample.mapInArrow(_terms, "fold int, term string, toxic bigint, clean bigint")
         .groupBy("term", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.collect_list(F.struct("fold", "toxic", "clean")).alias("by"))
-        .where("t >= 3 and t > 4 * c").collect()
+        .where(f"t >= {LEAST_TOXIC} and t > 4 * c").collect()
     )
     everything = {r["term"]: (r["t"], r["c"]) for r in terms}
     without = [{r["term"]: (r["t"] - sum(b["toxic"] for b in r["by"] if b["fold"] == k), r["c"] - sum(b["clean"] for b in r["by"] if b["fold"] == k)) for r in terms} for k in range(FOLDS)]
