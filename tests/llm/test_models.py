@@ -74,23 +74,106 @@ def test_odd_rows(spark, odd, empty):
         assert module.score(empty, module.train(empty, labels)).count() == 0
 
 
-def test_context_vectors_equal_brute_force(spark):
-    texts = ["a b c", "c b", "", None, "a"]
-    total = np.zeros((quality.ROWS, quality.WIDTH))
+def test_labels_without_documents_take_no_place(labelled_docs, spark):
+    docs, labels = labelled_docs
+    orphans = labels.selectExpr("doc_id + 100000 as doc_id", "quality", "toxic")
+    for column in ("toxic", "quality"):
+        assert toxicity.labelled(docs, labels.union(orphans), 200, column).count() == 200
+
+
+def test_words_of_other_languages_are_no_seeds():
+    seeds = toxicity.Model(toxicity.Lexicon())
+    clean = ["Die Katze und die Maus gaben dem Hund einen guten Rat, als es hell war.", "Le rat et le chien sont dans la maison.", "El con que sale la luz."]
+    assert seeds.probability(pa.array(clean)).max() == 0
+    toxic = ["Du bist ein Trottel und ein Versager.", "Tu es un crétin.", "Eres un idiota."]
+    assert (seeds.probability(pa.array(toxic)) >= 0.5).all()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_toxicity_features_equal_brute_force(seed):
+    import re
+
+    r = random.Random(seed)
+    lexicon = toxicity.Lexicon({"zumbrat"}, {"glorp"})
+    pool = ["idiot", "IDIOT!", "id1ot", "iiidiot", "zumbrat", "zumbrat,", "glorpish", "hate", "shit", "you", "You,", "dein", "plain", "Word.", "SHOUT", "a1b", "w@rd", "!!!", "...", "x-y", "é", "don't", "***"]
+    texts = [" ".join(r.choices(pool, k=r.randint(0, 25))) for _ in range(40)] + ["", None, "  "]
+    every = set().union(*toxicity.SEED.values()) | lexicon.words
+    want = []
+    for text in texts:
+        words = (text or "").split()
+        rows, toxic, second = [], [], []
+        for w in words:
+            core = re.sub(r"^\W+|\W+$", "", w)
+            low = core.lower()
+            short = re.sub(r"(.)\1{2,}", r"\1", low)
+            marks = sum(not (c.isalnum() or c == "_") for c in w)
+            odd = not core.isalpha() and (any(not (c.isalnum() or c == "_") for c in core) or (any(map(str.isdigit, core)) and any(map(str.isalpha, core))))
+            plain = re.sub(r"\W", "", low.translate(str.maketrans("013457@$!", "oieastasi")))
+            disguised = odd and plain != low and plain in every
+            stretched = short != low and short in every
+            own = [low in g for g in toxicity.SEED.values()] + [low in lexicon.words, any(low[:n] in lexicon.stems for n in toxicity.STEMS)]
+            toxic.append(any(own) or disguised or stretched)
+            second.append(low in toxicity.SECOND)
+            rows.append([*own, low in toxicity.SECOND, len(core) > 1 and core.isupper(), "!" in w, marks / len(w), marks > 2, odd, disguised, stretched])
+        n = max(len(words), 1)
+        rate = lambda j: sum(x[j] for x in rows) / n
+        near_you = sum(t and any(s and abs(i - j) <= toxicity.NEAR for j, s in enumerate(second)) for i, t in enumerate(toxic)) / n
+        want.append([*(rate(j) for j in range(5)), sum(toxic) / n, np.log1p(sum(toxic)), near_you, *(rate(j) for j in range(5, 13)), np.log1p(len(words))])
+    assert np.allclose(toxicity.features(pa.array(texts), toxicity.Words(lexicon)), np.array(want, dtype=float), atol=1e-6)
+
+
+def quality_by_hand(texts, own):
+    """Vectors by word and pooled features, by plain loops."""
+    from corpusflow.llm.text import word_hashes
+
+    hashes = {w: word_hashes(pa.array([w]), marks=True)[0] for t in texts for w in (t or "").split()}
+    name = {w: w if w in own else int(h[0]) % quality.SHARED for w, h in hashes.items()}
+    total, seen = {}, {}
     for t in texts:
-        rows = [int(quality.word_rows(pa.array([w]))[0][0]) for w in (t or "").split()]
-        for i, one in enumerate(rows):
-            for j, other in enumerate(rows):
+        words = (t or "").split()
+        for i, one in enumerate(words):
+            for j, other in enumerate(words):
                 if i != j and abs(i - j) <= quality.WINDOW:
-                    for k in range(quality.NONZERO):
-                        total[one, quality._places[other, k]] += quality._signs[other, k]
-    assert np.array_equal(quality.contexts(pa.array(texts))[:, :-1], total)
-    seen = quality.contexts(pa.array(texts))[:, -1:]
-    mean = total.sum(axis=0) / seen.sum()
-    want = np.where(seen > 0, total / np.maximum(seen, 1) - mean, 0)
-    want = want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+                    (places,), (signs,) = quality.index_vectors(hashes[other])
+                    v = total.setdefault(name[one], np.zeros(quality.WIDTH))
+                    for p, s in zip(places, signs):
+                        v[p] += s
+                    seen[name[one]] = seen.get(name[one], 0) + 1
+    mean = sum(total.values()) / sum(seen.values())
+    vectors = {n: (v / seen[n] - mean) / np.linalg.norm(v / seen[n] - mean) for n, v in total.items()}
+    features = []
+    for t in texts:
+        x = [vectors.get(name[w], np.zeros(quality.WIDTH)) for w in (t or "").split()]
+        features.append([*np.mean(x, axis=0), *np.std(x, axis=0), np.log1p(len(x))] if x else [0.0] * (2 * quality.WIDTH + 1))
+    return np.array(features)
+
+
+@pytest.mark.parametrize("most", [1 << 17, 20, 3, 0])
+def test_quality_equals_brute_force(spark, most):
+    r = random.Random(2)
+    words = [word() + str(i) for i in range(60)]
+    texts = [" ".join(r.choices(words, weights=[2 ** (i // 6) for i in range(60)], k=r.randint(1, 40))) for _ in range(50)] + ["", None, "alone"]
+    count = {}
+    for t in texts:
+        for w in (t or "").split():
+            count[w] = count.get(w, 0) + 1
+    level = {w: int(np.floor(np.log2(n) * quality.STEPS)) for w, n in count.items()}
+    fits = [c for c in set(level.values()) if sum(x >= c for x in level.values()) <= most]
+    own = {w for w in level if fits and level[w] >= min(fits)}
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    assert np.allclose(quality.word_vectors(df), want, atol=1e-5)
+    known = quality.vocabulary(df, most)
+    assert len(known.own) == len(own)
+    got = quality.pooled(pa.array(texts), known, quality.word_vectors(df, known))
+    assert np.allclose(got, quality_by_hand(texts, own), atol=1e-4)
+
+
+def test_network_equals_plain_arithmetic():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 3))
+    net = quality.Network().fit(x, (x[:, 0] * x[:, 1] > 0).astype(float))
+    by_hand = [sum(max(0.0, sum((v[i] - net.shift[i]) / net.scale[i] * net.w[0][i, h] for i in range(3)) + net.w[1][h]) * net.w[2][h] for h in range(quality.HIDDEN)) + net.w[3][0] for v in x[:20]]
+    assert np.allclose(net.logits(x[:20]), by_hand)
+    assert ((net.logits(x) > 0) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 
 def test_temperature():
