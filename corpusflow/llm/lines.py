@@ -2,8 +2,9 @@
 
 Every line is judged by itself; the first rule that it fails names the reason.
 
-- ``boilerplate``: it holds a stock phrase (licenses, rights, cookies, scripts, policies, placeholder text);
-- ``navigation``: three or more separators as in menus and breadcrumbs, or nothing but menu words;
+- ``boilerplate``: it holds a stock phrase of one of four languages (licenses, rights, cookies, scripts, policies,
+  placeholder text);
+- ``navigation``: three or more separators as in menus and breadcrumbs, or nothing but menu words of these languages;
 - ``punctuation``: it doesn't end as a sentence does, or marks follow at least a fifth of its words in runs
   (``###``, ``%%%``, ``!!``).
 
@@ -24,15 +25,37 @@ LEAST_KEPT = 0.5
 SEPARATORS = 3
 MARKED = 0.2
 
-_phrases = [
-    "all rights reserved", "licensed under", "released under the", "public license", "terms of (use|service)", "privacy policy", "use cookies", "cookie policy",
-    "enable javascript", "javascript is (disabled|required)", "lorem ipsum", "subscribe to our newsletter", "copyright (\\(c\\)|©|[0-9]{4})", "click here to", "powered by wordpress",
-]
-_menu = "home|about|about us|contact|contact us|login|log in|sign in|sign up|register|search|menu|next|previous|prev|back|top|share|print|faq|help|sitemap|news|blog|shop|cart|more|read more"
-BOILERPLATE = "(" + "|".join(_phrases) + ")"
-MENU = f"^({_menu})([ /,;:>-]+({_menu}))*[.!]?$"
+#: English, German, French and Spanish; further languages are further rows.
+_phrases = {
+    "en": [
+        "all rights reserved", "licensed under", "released under the", "public license", "terms of (use|service)", "terms and conditions", "privacy policy", "use cookies", "cookie policy",
+        "enable javascript", "javascript is (disabled|required)", "lorem ipsum", "subscribe to our newsletter", "copyright (\\(c\\)|©|[0-9]{4})", "click here to", "powered by wordpress",
+    ],
+    "de": [
+        "alle rechte vorbehalten", "lizenziert unter", "veröffentlicht unter der", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "datenschutzhinweise", "(verwendet|verwenden) cookies",
+        "cookie-(richtlinie|einstellungen)", "javascript (aktivieren|ist deaktiviert)", "(unseren newsletter|newsletter abonnieren)", "klicken sie hier", "hier klicken",
+    ],
+    "fr": [
+        "tous droits réservés", "sous licence", "publié sous", "conditions (générales )?d['’]utilisation", "politique de confidentialité", "mentions légales", "(utilise|utilisons) des cookies", "politique (relative aux|de) cookies",
+        "activer javascript", "javascript est désactivé", "abonnez-vous à notre", "inscrivez-vous à notre", "cliquez ici",
+    ],
+    "es": [
+        "todos los derechos reservados", "bajo (la )?licencia", "publicado bajo", "términos (de uso|y condiciones)", "condiciones de uso", "política de privacidad", "aviso legal", "(utiliza|utilizamos|usa|usamos) cookies", "política de cookies",
+        "(habilite|habilitar|active) javascript", "javascript está desactivado", "(suscríbete|suscríbase) a nuestr[oa]", "(haga|haz) clic aquí",
+    ],
+}
+_menus = {
+    "en": "home|about|about us|contact|contact us|login|log in|sign in|sign up|register|search|menu|next|previous|prev|back|top|share|print|faq|help|sitemap|news|blog|shop|cart|more|read more",
+    "de": "startseite|über uns|kontakt|anmelden|abmelden|registrieren|suche|suchen|menü|weiter|zurück|vor|nach oben|teilen|drucken|hilfe|inhaltsverzeichnis|nachrichten|warenkorb|mehr|mehr lesen|weiterlesen|impressum|datenschutz",
+    "fr": "accueil|à propos|contactez-nous|connexion|se connecter|s['’]inscrire|recherche|rechercher|suivant|précédent|retour|haut de page|partager|imprimer|aide|plan du site|actualités|boutique|panier|plus|lire la suite|en savoir plus",
+    "es": "inicio|sobre nosotros|quiénes somos|contacto|iniciar sesión|registrarse|buscar|búsqueda|menú|siguiente|anterior|volver|arriba|compartir|imprimir|ayuda|mapa del sitio|noticias|tienda|carrito|más|leer más|seguir leyendo",
+}
+_menu = "|".join(_menus.values())
+# phrases start words, which also spares most places the trial of all of them
+BOILERPLATE = "(^|[^a-zà-ÿ])(" + "|".join(p for ps in _phrases.values() for p in ps) + ")"
+MENU = f"^({_menu})([ /,;:>|·•»›-]+({_menu}))*[.!]?$"
 SEPARATOR = "( [|·•»›>] )"
-ENDING = "[.!?…][\"'”’»)\\]]*$"
+ENDING = "[.!?…。！？؟۔।][\"'”’»)\\]」』]*$"
 MARKS = "([#$%&*=~^_+<>@]{3,}|!{2,}|[?]{3,})"
 REASONS = ("boilerplate", "navigation", "punctuation")
 

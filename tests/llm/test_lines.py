@@ -21,6 +21,18 @@ def test_rules(spark):
         assert found == why, text
 
 
+def test_rules_of_other_languages(spark):
+    cases = {
+        "Alle Rechte vorbehalten.": "boilerplate", "Unsere Datenschutzerklärung gilt hier.": "boilerplate", "Startseite | Über uns | Kontakt": "navigation", "Weiterlesen": "navigation",
+        "Die Rechte der Völker bleiben vorbehalten.": "", "Tous droits réservés.": "boilerplate", "Ce site utilise des cookies.": "boilerplate", "Accueil / À propos / Aide": "navigation", "Il se connecte au réseau.": "",
+        "Todos los derechos reservados.": "boilerplate", "Haga clic aquí.": "boilerplate", "Inicio > Noticias > Más": "navigation", "Los derechos son de todos.": "",
+        "これは文です。": "", "هل هذا نص؟": "", "यह एक वाक्य है।": "", "これは文": "punctuation", "A publicación bajo el sol.": "", "Relicensed under water.": "",
+    }
+    for r, (text, why) in zip(reports(spark, list(cases)), cases.items()):
+        found = next((x for x in lines.REASONS if r[f"removed_{x}"]), "")
+        assert found == why, text
+
+
 def test_documents(spark):
     good, bad = "This is a good sentence of prose.", "no end here"
     rows = reports(spark, [f"{good}\n{bad}\n\n {good} ", f"{bad}\n{bad}\n{bad}\n{bad}\n{good}", good, bad])
