@@ -7,7 +7,9 @@ shares. Slots are ranked per source and joined with the blocks of equal rank.
 
 The mixture has as many slots as it takes until every block of every source is used once, so no document is lost;
 sources that the weights favour over their size start again (``epoch`` 1 and so on). Without given weights a source
-weighs its tokens to the power ``ALPHA``, which favours small sources.
+weighs its tokens to the power ``ALPHA``, which favours small sources. Given weights may be far from the sizes and make
+such a mixture very long; with ``target`` it has that many tokens instead (rounded up to a block), and what its slots
+don't reach is left out.
 
 Cases. A null source is the source ''. Documents without tokens (null or empty text) fill no slot and are not in the
 mixture. A null ``doc_id`` is a value like any other. Repeated rows (equal doc_id, source and text) lie side by side and
@@ -75,11 +77,13 @@ def intervals(laid: DataFrame, weights: dict[str, float] | None = None, alpha: f
     return cumulated.select("source", "total", F.coalesce(F.lag("high").over(order), F.lit(0)).alias("low"), "high").where("high > low")
 
 
-def schedule(laid: DataFrame, block: int = BLOCK, weights: dict[str, float] | None = None, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
+def schedule(laid: DataFrame, block: int = BLOCK, weights: dict[str, float] | None = None, alpha: float = ALPHA, target: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(slots, sources): slot, source, source_rank; and source, total, slots of each source."""
     spark = laid.sparkSession
     sources = materialize(intervals(laid, weights, alpha).withColumn("need", F.ceil(F.col("total") / F.lit(block))), "mix-sources")
     most = sources.agg(F.max(F.ceil((F.col("need") + SLACK) * (1 << BITS) / (F.col("high") - F.col("low"))))).first()[0] or 0
+    if target is not None:
+        most = -(-target // block) if most else 0
     cells = 1024
     per = (1 << BITS) // cells
     points = spark.range(int(most)).select(F.col("id").alias("slot"), (F.col("id") % (1 << BITS) * STEP % (1 << BITS)).alias("u"))
@@ -87,7 +91,7 @@ def schedule(laid: DataFrame, block: int = BLOCK, weights: dict[str, float] | No
     slots = points.withColumn("cell", F.expr(f"u div {per}")).join(spread, "cell").where("u >= low and u < high").select("slot", "source", "need")
     slots = materialize(slots, "mix-slots")
     ranked = materialize(prefix_rank(slots, ["source"], "slot", [], int(most), rank="source_rank", span=max(1, int(most))), "mix-ranked")
-    last = ranked.where("source_rank = need - 1").agg(F.max("slot")).first()[0]
+    last = ranked.agg(F.max("slot")).first()[0] if target is not None else ranked.where("source_rank = need - 1").agg(F.max("slot")).first()[0]
     ranked = ranked.where(F.col("slot") <= F.lit(-1 if last is None else last)).select("slot", "source", "source_rank")
     used = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
     return ranked, sources.join(used, "source").select("source", "total", "slots")
@@ -97,10 +101,10 @@ def _epochs(laid: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return laid.join(sources, "source").withColumn("epochs", F.ceil((F.col("slots") * block - F.col("start")) / F.col("total"))).where("epochs > 0")
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, tokens: Column | None = None) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, tokens: Column | None = None, target: int | None = None) -> DataFrame:
     """The mixture's pieces: slot, source, source_rank, epoch, slot_offset, doc_id, doc_offset, n_tokens."""
     laid = layout(docs, tokens)
-    slots, sources = schedule(laid, block, weights, alpha)
+    slots, sources = schedule(laid, block, weights, alpha, target)
     rounds = _epochs(laid, sources, block).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)))
     rounds = rounds.withColumn("lo", F.col("epoch") * F.col("total") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("tokens"), F.col("slots") * block))
     pieces = rounds.withColumn("source_rank", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))))
@@ -110,10 +114,10 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     return pieces.join(slots, ["source", "source_rank"]).select("slot", "source", "source_rank", "epoch", "slot_offset", "doc_id", "doc_offset", "n_tokens")
 
 
-def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, target: int | None = None) -> DataFrame:
     """``docs`` as the mixture uses it: each document once per epoch in which a slot holds its first token."""
     laid = layout(docs)
-    _, sources = schedule(laid, block, weights, alpha)
+    _, sources = schedule(laid, block, weights, alpha, target)
     times = _epochs(laid, sources, block).select(F.col("doc_id").alias("_cf_id2"), F.col("source").alias("_cf_source2"), F.col("key").alias("_cf_key2"), F.col("epochs").cast("int").alias("_cf_times"))
     keyed = docs.select("*", *_text_key(docs))
     joined = keyed.join(times, keyed["_cf_id"].eqNullSafe(times["_cf_id2"]) & (keyed["_cf_source"] == times["_cf_source2"]) & (keyed["_cf_key"] == times["_cf_key2"]))

@@ -81,6 +81,19 @@ def test_documents_repeat_as_scheduled(corpus):
     assert times == starts and set(times) == set(range(400))
 
 
+def test_a_target_bounds_the_mixture(corpus):
+    weights = {"big": 0.02, "small": 0.49, "tiny": 0.49}
+    free = mixing.mixture(corpus, weights, block=64).select("slot").distinct().count()
+    rows = mixing.mixture(corpus, weights, block=64, target=6400).collect()
+    slots = {r["slot"]: r["source"] for r in rows}
+    assert free > 1000 and sorted(slots) == list(range(100)) and sum(r["n_tokens"] for r in rows) == 6400
+    assert all(abs(Counter(slots.values())[s] - 100 * w) <= 2 for s, w in weights.items())
+    times = Counter(r["doc_id"] for r in mixing.mix_documents(corpus, weights, block=64, target=6400).collect())
+    assert times == Counter(r["doc_id"] for r in rows if r["doc_offset"] == 0)
+    assert mixing.mixture(corpus, weights, block=64, target=200 * 6400).select("slot").distinct().count() == 20_000
+    assert mixing.mixture(corpus.where("false"), weights, block=64, target=6400).count() == 0
+
+
 def test_odd_rows(odd, empty):
     rows = mixing.mixture(odd, block=16).collect()
     assert {r["source"] for r in rows} == {"a", "b", "c", ""}
