@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import os
 
-from corpusflow.config import CHAT, ONE_SHOT, ChunkOptions
+from corpusflow.config import CHAT, ONE_SHOT, ChunkOptions, ParseOptions
+from corpusflow.encoders import RemoteEncoder
 from corpusflow.engine import Engine
 from corpusflow.session import local_session
 
@@ -51,7 +53,8 @@ def main(arguments: list[str] | None = None) -> None:
     commands = parser.add_subparsers(dest="command", required=True)
     defaults = ChunkOptions()
     wanted = {
-        "build": {"--data": {"required": True}, "--target-tokens": {"default": defaults.target_tokens, "type": int}, "--overlap": {"default": defaults.overlap, "type": float}, "--skip": {"nargs": "*", "default": [], "choices": ["parse", "chunk", "embed"]}, "--force": {"action": "store_true"}},
+        "build": {"--data": {"required": True}, "--target-tokens": {"default": defaults.target_tokens, "type": int}, "--overlap": {"default": defaults.overlap, "type": float}, "--skip": {"nargs": "*", "default": [], "choices": ["parse", "chunk", "embed"]}, "--force": {"action": "store_true"},
+                  "--no-pdf-tables-as-csv": {"action": "store_true"}},
         "query": {"question": {}, "--topk": {"default": ONE_SHOT.final_k, "type": int}},
         "chat": {"--session": {}, "--new-session": {"action": "store_true"}, "--verbose": {"action": "store_true"}},
         "doctor": {},
@@ -60,11 +63,14 @@ def main(arguments: list[str] | None = None) -> None:
         sub = commands.add_parser(command)
         if command in ("query", "chat"):
             options["--timeout"] = {"default": ONE_SHOT.timeout, "type": int}
+        if command in ("build", "query", "chat"):
+            options |= {"--encoder": {"default": "hashing", "choices": ["hashing", "remote"]}, "--encoder-model": {"default": ""}, "--encoder-url": {"default": os.environ.get("EMBEDDING_URL", "")}}
         for name, settings in {**options, "--index": {"default": "artifacts"}}.items():
             sub.add_argument(name, **settings)
     a = parser.parse_args(arguments)
     options = ChunkOptions(a.target_tokens, a.overlap) if a.command == "build" else None
-    engine = Engine(local_session(), a.index, chunk_options=options)
+    encoder = RemoteEncoder(a.encoder_url, a.encoder_model) if getattr(a, "encoder", "") == "remote" else None
+    engine = Engine(local_session(), a.index, encoder, chunk_options=options, parse_options=ParseOptions(pdf_tables_as_csv=not getattr(a, "no_pdf_tables_as_csv", False)))
     if a.command == "build":
         print(engine.build(a.data, tuple(a.skip), a.force))
     elif a.command == "query":

@@ -131,9 +131,12 @@ QUERY_PREFIX = "query: "
 BATCH = 64
 
 
-def encode_column(encoder: Encoder, text: Column) -> Column:
-    """``text`` as vectors, in batches; the encoder is made once per worker and never sees more than ``BATCH`` texts."""
-    prefix = document_prefix(encoder.name)
+def encode_column(encoder: Encoder, text: Column, prefix: str | None = None) -> Column:
+    """``text`` as vectors, in batches; the encoder is made once per worker and never sees more than ``BATCH`` texts.
+
+    Each text that isn't empty follows ``prefix``, by default that of the encoder's documents.
+    """
+    prefix = document_prefix(encoder.name) if prefix is None else prefix
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

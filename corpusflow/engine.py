@@ -9,21 +9,23 @@ from __future__ import annotations
 import importlib.util
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from corpusflow.config import CHAT, ONE_SHOT, ChunkOptions, ParseOptions, RetrievalConfig, config_hash
-from corpusflow.encoders import QUERY_PREFIX, Encoder, Generator, HashingEncoder, OfflineGenerator, Reranker, encode_column, rerank
+from corpusflow.encoders import QUERY_PREFIX, Encoder, Generator, HashingEncoder, OfflineGenerator, Reranker, document_prefix, encode_column, rerank
 from corpusflow.functions.tables import csv_preview
 from corpusflow.functions.text import SLIDE_WORDS, TABLE_WORDS, mentions
 from corpusflow.operators import assembly, incremental, retrieval
 from corpusflow.operators.chunking import chunk_units
+from corpusflow.operators.ranking import numbered
 from corpusflow.session import materialize
-from corpusflow.sources.parsers import Reader
+from corpusflow.sources.parsers import Reader, readers_for
 from corpusflow.sources.scan import corpus, files, parse
 from corpusflow.sources.session_store import SessionStore
 from corpusflow.sources.sinks import write_parquet
@@ -39,11 +41,12 @@ class Answer:
 class Engine:
     def __init__(
         self, spark: SparkSession, index: str, encoder: Encoder | None = None, generator: Generator | None = None, reranker: Reranker | None = None,
-        readers: dict[str, Reader] | None = None, parse_options: ParseOptions | None = None, chunk_options: ChunkOptions | None = None,
+        readers: dict[str, Reader] | None = None, partition: Callable | None = None, ocr: Callable | None = None, caption: Callable | None = None, parse_options: ParseOptions | None = None, chunk_options: ChunkOptions | None = None,
     ):
         self.spark, self.index = spark, index.rstrip("/")
         self.encoder, self.generator, self.reranker = encoder or HashingEncoder(), generator or OfflineGenerator(), reranker
-        self.readers, self.parse_options, self.chunk_options = readers, parse_options or ParseOptions(), chunk_options or ChunkOptions()
+        self.parse_options, self.chunk_options = parse_options or ParseOptions(), chunk_options or ChunkOptions()
+        self.readers = {**readers_for(self.parse_options, partition, ocr, caption), **(readers or {})}
         self.sessions = SessionStore(spark, f"{self.index}/sessions")
 
     def _path(self, name: str) -> str:
@@ -95,19 +98,36 @@ class Engine:
         rows = chunks.join(nearby, "id", "left")
         rows = rows.withColumn("full_text", assembly.full_text(F.col("source_type"), F.col("content_format"), F.col("content"), F.col("heading_path"), F.col("nearby")))
         rows = rows.withColumn("summary_text", assembly.summary_text(F.col("source_type"), F.col("content_format"), F.col("full_text"), F.col("columns"), F.col("num_rows")))
-        # items are numbered in the order of files and chunks: counts per file give each file's first number
-        counts = rows.groupBy("source_path").agg(F.count(F.lit(1)).alias("_n"))
-        base = counts.select("source_path", (F.sum("_n").over(W.orderBy("source_path")) - F.col("_n")).alias("_base"))
-        within = F.row_number().over(W.partitionBy("source_path").orderBy("chunk_index", "id"))
-        rows = rows.join(base, "source_path").withColumn("item", (F.col("_base") + within - 1).cast("bigint")).drop("_base", "nearby")
-        rows = rows.withColumn("emb_summary", encode_column(self.encoder, F.col("summary_text"))).withColumn("emb_full", encode_column(self.encoder, F.col("full_text")))
-        done = {"items": write_parquet(rows, self._path("corpus"), ["source_type"])}
+        # items are numbered in the order of files and chunks
+        rows = numbered(rows.drop("nearby"), ["source_path", "chunk_index", "id"], "item")
+        done = {"vectors_encoded": self._encode(rows)}
+        vectors = self._stored("vectors").where(F.col("encoder") == self._encoder_hash())
+        for text, name in (("summary_text", "emb_summary"), ("full_text", "emb_full")):
+            rows = rows.withColumn("_key", F.sha1(text)).join(vectors.select(F.col("key").alias("_key"), F.col("vector").alias(name)), "_key", "left").drop("_key")
+        done["items"] = write_parquet(rows, self._path("corpus"), ["source_type"])
         texts = self._corpus().select("item", F.col("full_text").alias("text"))
         done["postings"] = write_parquet(retrieval.postings(texts).repartition("term").sortWithinPartitions("term"), self._path("postings"))
         write_parquet(retrieval.bm25_stats(texts), self._path("stats"))
         done["terms"] = write_parquet(retrieval.vocabulary(self._stored("postings"), self._stored("stats")), self._path("vocabulary"))
         return done
 
+    def _encoder_hash(self) -> str:
+        return config_hash(type(self.encoder).__name__, self.encoder.name, document_prefix(self.encoder.name))
+
+    def _encode(self, rows: DataFrame) -> int:
+        """Encode the texts of which no vector by this encoder is stored yet; each text once. Returns their number."""
+        texts = rows.select("summary_text").union(rows.select("full_text")).toDF("text").where("text is not null")
+        texts = texts.groupBy(F.sha1("text").alias("key")).agg(F.first("text").alias("text"))
+        known = self._stored("vectors")
+        if known is not None:
+            texts = texts.join(known.where(F.col("encoder") == self._encoder_hash()).select("key"), "key", "left_anti")
+        new = texts.select("key", F.lit(self._encoder_hash()).alias("encoder"), encode_column(self.encoder, F.col("text")).alias("vector"))
+        new = materialize(new, "vectors")
+        count = new.count()
+        if count or known is None:
+            new.write.mode("append").parquet(self._path("vectors"))
+        return count
+
     def _corpus(self) -> DataFrame:
         return corpus(self.spark, self._path("corpus"))
 
@@ -117,15 +137,15 @@ class Engine:
         """Every step's ranked list for questions(query_id, question), by name; the last is ``final``."""
         items = self._corpus()
         # questions come from users; their vectors use the corpus's encoder
-        asked = questions.withColumn("vector", encode_column(self.encoder, F.concat(F.lit(QUERY_PREFIX), "question")))
+        asked = questions.withColumn("vector", encode_column(self.encoder, F.col("question"), QUERY_PREFIX))
         asked = materialize(asked, "questions")
         out: dict[str, DataFrame] = {}
         out["dense_summary"] = retrieval.dense_topk(asked, items.select("item", F.col("emb_summary").alias("vector")), config.k_summary)
         out["dense_full"] = retrieval.dense_topk(asked, items.select("item", F.col("emb_full").alias("vector")), config.k_full)
         texts = questions.select("query_id", F.col("question").alias("text"))
         index = [self._stored(n) for n in ("postings", "vocabulary", "stats")]
-        scores = retrieval.bm25_scores(texts, *index)
-        out["sparse"] = retrieval.bm25_topk(texts, *index, config.k_sparse, config.keep_zero, items)
+        scores = materialize(retrieval.bm25_scores(texts, *index), "scores")
+        out["sparse"] = retrieval.zero_filled(scores, texts, items, config.k_sparse) if config.keep_zero else retrieval.top(scores, config.k_sparse)
         fused = retrieval.rrf([(out["dense_summary"], config.weights[0]), (out["dense_full"], config.weights[1]), (out["sparse"], config.weights[2])], config.rrf_constant)
         out["fused"] = fused = materialize(fused, "fused")
         if config.inject:
@@ -152,8 +172,7 @@ class Engine:
     def _inject(self, fused: DataFrame, questions: DataFrame, scores: DataFrame, items: DataFrame, config: RetrievalConfig) -> DataFrame:
         tables = items.where((F.col("source_type") == "csv") | (F.col("content_format") == "csv")).select("item")
         wants = questions.where(mentions(F.col("question"), TABLE_WORDS)).select("query_id")
-        best = retrieval.top(wants.crossJoin(tables).join(scores, ["query_id", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), 20)
-        fused = retrieval.inject(fused, best)
+        fused = retrieval.inject(fused, retrieval.zero_filled(scores, wants, tables, 20))
         if not config.slide_hints:
             return fused
         hinted = F.lit(False)
@@ -161,8 +180,7 @@ class Engine:
             hinted = hinted | F.lower("source_path").contains(hint.lower())
         slides = items.where((F.col("source_type") == "pptx") & hinted).select("item")
         wants = questions.where(mentions(F.col("question"), SLIDE_WORDS)).select("query_id")
-        first = retrieval.top(wants.crossJoin(slides).withColumn("score", -F.col("item").cast("double")), 30)
-        return retrieval.inject(fused, first)
+        return retrieval.inject(fused, retrieval.first_items(wants, slides, 30))
 
     def search(self, questions: DataFrame, config: RetrievalConfig = ONE_SHOT) -> DataFrame:
         """query_id, rank, item, label, block: the final contexts of all questions."""
@@ -196,7 +214,9 @@ class Engine:
         text = self.generator.generate(system, prompt, config.timeout)
         if config.check_citations:
             text = self.spark.range(1).select(assembly.checked_answer(F.lit(text))).first()[0]
-        counts = {f"{name}_results": df.count() for name, df in steps.items()}
+        lists = [df.select(F.lit(name).alias("step")) for name, df in steps.items()]
+        found = {r["step"]: r["n"] for r in reduce(DataFrame.union, lists).groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {f"{name}_results": found.get(name, 0) for name in steps}
         info = {"model_used": type(self.generator).__name__, **counts, "generation_time_s": round(time.time() - began, 3), "sources_count": len(rows)}
         return Answer(text, "\n".join(r["label"] for r in rows), info)
 

@@ -72,7 +72,8 @@ def sniff_csv(text: str) -> tuple[list[list[str]], bool]:
 
     attempts = [","]
     try:
-        attempts.append(csv.Sniffer().sniff(text[:65536], ";\t|:,").delimiter)
+        # by the first line, as long as it is
+        attempts.append(csv.Sniffer().sniff(text.strip().split("\n", 1)[0], ";\t|:,").delimiter)
     except csv.Error:
         pass
     for delimiter in attempts:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusflow.session import materialize
+
 HASH_BITS = 60
 
 
@@ -54,3 +56,20 @@ def prefix_rank(
     if weight:
         out = out.withColumn(before, (F.col(before) + F.col("_ow")).cast("bigint"))
     return out.drop("_b", "_o", "_ow")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with numbers from 0 in the given order, as a written table; no task holds more than a range of the rows.
+
+    Rows are range-partitioned and sorted, and the counts of the partitions give each its first number.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered")
+    part = F.shiftright("_place", 33)
+    total, first = 0, []
+    for r in sorted(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):  # one row per partition
+        first += [F.lit(r["part"]), F.lit(total)]
+        total += r["n"]
+    if not first:
+        return rows.withColumn(name, F.lit(0).cast("bigint")).drop("_place")
+    return rows.withColumn(name, (F.create_map(*first)[part] + F.col("_place").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.config import CHAT, ONE_SHOT
 from corpusflow.functions import ids, tables, text, vectors
 from corpusflow.operators import assembly, chunking, incremental, retrieval, segments, sessions
-from corpusflow.plans import inputs
+from corpusflow.plans import files, inputs
 from corpusflow.plans.inputs import table
 from corpusflow.session import materialize
 from corpusflow.sources.scan import extension, latest_per_id, parser_name, visible
@@ -272,13 +272,16 @@ def vec_mean_by_document(spark, sf):
 @query("""
 WITH q AS (SELECT item_id AS query_id, [embedding[1:32], embedding[33:64]] AS t FROM benchmark JOIN embeddings ON item_id = vec_id),
 d AS (SELECT vec_id AS item, [embedding[1:32], embedding[33:64]] AS t FROM embeddings)
-SELECT query_id, item, round(list_sum(list_transform(q.t, lambda a: list_max(list_transform(d.t, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))), 6) AS score FROM q, d
+SELECT query_id, item, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM (
+  SELECT query_id, item, round(list_sum(list_transform(q.t, lambda a: list_max(list_transform(d.t, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))), 9) AS s FROM q, d)
+QUALIFY rank <= 60
 """)
 def maxsim(spark, sf):
     tokens = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
     rows = table(spark, sf, "embeddings").select("vec_id", tokens.alias("t"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(rows.select(F.col("vec_id").alias("query_id"), F.col("t").alias("q")), "query_id")
-    return asked.crossJoin(rows.withColumnRenamed("vec_id", "item")).select("query_id", "item", F.round(vectors.max_sim(F.col("q"), F.col("t")), 6).alias("score"))
+    found = retrieval.max_sim_topk(asked.select("query_id", F.col("q").alias("tokens")), rows.select(F.col("vec_id").alias("item"), F.col("t").alias("tokens")), 60)
+    return found.select("query_id", "item", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- retrieval ----
@@ -315,14 +318,12 @@ def _fused(spark, sf, scores: DataFrame | None = None) -> DataFrame:
 def _with_tables(spark, sf) -> DataFrame:
     scores = _lexical(spark, sf)
     wants = inputs.questions(spark, sf).where(text.mentions(F.col("question"), text.TABLE_WORDS)).select("query_id")
-    some = wants.crossJoin(inputs.items(spark, sf).where("is_table").select("item")).join(scores, ["query_id", "item"], "left")
-    return retrieval.inject(_fused(spark, sf, scores), retrieval.top(some.withColumn("score", F.coalesce("score", F.lit(0.0))), 20))
+    return retrieval.inject(_fused(spark, sf, scores), retrieval.zero_filled(scores, wants, inputs.items(spark, sf).where("is_table"), 20))
 
 
 def _injected(spark, sf) -> DataFrame:
     wants = inputs.questions(spark, sf).where(text.mentions(F.col("question"), text.SLIDE_WORDS)).select("query_id")
-    first = retrieval.top(wants.crossJoin(inputs.items(spark, sf).where("is_slide").select("item")).withColumn("score", -F.col("item")), 30)
-    return retrieval.inject(_with_tables(spark, sf), first)
+    return retrieval.inject(_with_tables(spark, sf), retrieval.first_items(wants, inputs.items(spark, sf).where("is_slide"), 30))
 
 
 def _reranked(spark, sf, ranked: DataFrame, config) -> DataFrame:
@@ -541,6 +542,10 @@ def event_windows(spark, sf):
     return event_counts(table(spark, sf, "events"))
 
 
+QUERIES |= files.QUERIES
+ORACLES |= files.ORACLES
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hybrid retrieval with injection, cap, rerank and coherence for every benchmark question."""
     return hybrid_one_shot(spark, sf_dir)

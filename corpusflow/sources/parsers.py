@@ -6,13 +6,16 @@ they are read where a reader is installed or plugged in, and are reported otherw
 
 from __future__ import annotations
 
+import inspect
 import io
 import re
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from xml.etree import ElementTree
 
+from corpusflow.config import ParseOptions
 from corpusflow.functions.tables import html_tables_to_csv, sniff_csv, to_csv_text
 
 _a = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -28,6 +31,7 @@ class Unit:
 
 
 Reader = Callable[[bytes, str], list[Unit]]
+IMAGES = [f".{x}" for x in "bmp jpeg jpg png tif tiff webp".split()]
 
 
 def decode(data: bytes) -> str:
@@ -112,14 +116,16 @@ def table_unit(rows: list[list[str | None]], page: int, index: int) -> Unit | No
     return Unit("pdf", f"page:{page}/table:{index}", to_csv_text(rows), meta)
 
 
-def read_pdf(data: bytes, path: str) -> list[Unit]:
-    """One unit per page by pypdf, and one per table where pdfplumber is installed too."""
+def read_pdf(data: bytes, path: str, tables_as_csv: bool = True) -> list[Unit]:
+    """One unit per page by pypdf, and one per table where pdfplumber is installed too and tables are wanted."""
     try:
         import pypdf
     except ImportError as error:
         raise RuntimeError("reading PDF needs pypdf, or a reader given for .pdf") from error
     pages = pypdf.PdfReader(io.BytesIO(data)).pages
     units = [Unit("pdf", f"page:{n}", page.extract_text() or "", {"page_number": n, "page_count": len(pages)}) for n, page in enumerate(pages, 1)]
+    if not tables_as_csv:
+        return units
     try:
         import pdfplumber
     except ImportError:
@@ -154,11 +160,11 @@ class Element:
     coordinates: list[list[float]] | None = None
 
 
-def element_units(elements: list[Element], source_type: str) -> list[Unit]:
-    """Elements as units: blank ones go, and tables become CSV if their HTML is known."""
+def element_units(elements: list[Element], source_type: str, infer_tables: bool = True) -> list[Unit]:
+    """Elements as units: blank ones go, and tables become CSV if their HTML is known and that is wanted."""
     units = []
     for e in elements:
-        table = html_tables_to_csv(e.html) if e.category == "Table" and e.html else ""
+        table = html_tables_to_csv(e.html) if infer_tables and e.category == "Table" and e.html else ""
         content = table or e.text
         if not (content or "").strip():
             continue
@@ -170,13 +176,13 @@ def element_units(elements: list[Element], source_type: str) -> list[Unit]:
     return units
 
 
-def element_reader(partition: Callable[[bytes, str], list[Element]], basic: Reader | None = None) -> Reader:
+def element_reader(partition: Callable[[bytes, str], list[Element]], basic: Reader | None = None, infer_tables: bool = True) -> Reader:
     """A reader by an element engine that falls back to a basic reader where the engine fails or finds nothing."""
 
     def read(data: bytes, path: str) -> list[Unit]:
         kind = path.rsplit(".", 1)[-1].lower()
         try:
-            units = element_units(partition(data, path), kind)
+            units = element_units(partition(data, path), kind, infer_tables)
         except Exception:
             units = []
             if basic is None:
@@ -196,3 +202,33 @@ READERS: dict[str, Reader] = {
     ".pptx": read_pptx,
     ".pdf": read_pdf,
 }
+
+
+def readers_for(
+    options: ParseOptions, partition: Callable[..., list[Element]] | None = None, ocr: Callable[..., str] | None = None, caption: Callable[..., str] | None = None,
+    basic: dict[str, Reader] | None = None,
+) -> dict[str, Reader]:
+    """The readers that ``options`` ask for, by extension.
+
+    ``engine="elements"`` reads every type by ``partition``, which gets the PDF strategy and the OCR languages where it
+    has parameters of these names, and falls back to the basic readers. Images need ``ocr`` (which gets the languages),
+    and are described by ``caption`` (which gets the number of tokens) where captions are on.
+    """
+    found = {**READERS, ".pdf": partial(read_pdf, tables_as_csv=options.pdf_tables_as_csv), **(basic or {})}
+    if ocr:
+        words = _with(ocr, languages=options.ocr_languages)
+        seen = _with(caption, tokens=options.caption_tokens) if options.captions and caption else None
+        found |= dict.fromkeys(IMAGES, image_reader(words, seen))
+    if options.engine == "elements":
+        if partition is None:
+            raise ValueError("the engine 'elements' needs a function that partitions files")
+        engine = _with(partition, strategy=options.pdf_strategy, languages=options.ocr_languages)
+        found = {kind: element_reader(engine, reader, options.infer_tables) for kind, reader in found.items()}
+    elif options.engine != "basic":
+        raise ValueError(f"unknown engine {options.engine!r}")
+    return found
+
+
+def _with(function: Callable, **settings: object) -> Callable:
+    """``function`` with those settings that it has parameters for."""
+    return partial(function, **{k: v for k, v in settings.items() if k in inspect.signature(function).parameters})

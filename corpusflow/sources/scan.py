@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.ids import chunk_id, document_id
 from corpusflow.schema import CHUNK, METADATA_FIELDS, UNIT
-from corpusflow.sources.parsers import READERS, Reader
+from corpusflow.sources.parsers import IMAGES, READERS, Reader
 
 
 def visible(path: Column) -> Column:
@@ -22,11 +22,14 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
+KINDS = {"text": [".txt", ".log"], "markdown": [".md", ".markdown"], "csv": [".csv"], "docx": [".docx"], "pptx": [".pptx"], "pdf": [".pdf"], "image": IMAGES}
+KNOWN = {x for extensions in KINDS.values() for x in extensions}
+
+
 def parser_name(ext: Column) -> Column:
     """The reader of an extension; null for what isn't read."""
-    kinds = {"text": [".txt", ".log"], "markdown": [".md", ".markdown"], "csv": [".csv"], "docx": [".docx"], "pptx": [".pptx"], "pdf": [".pdf"], "image": [f".{x}" for x in "bmp jpeg jpg png tif tiff webp".split()]}
     out = F.lit(None).cast("string")
-    for name, extensions in kinds.items():
+    for name, extensions in KINDS.items():
         out = F.when(ext.isin(*extensions), name).otherwise(out)
     return out
 
@@ -39,7 +42,11 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse(found: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
-    """Units of files(path, content); see ``schema.UNIT``. Files of unknown type have none, failures have an error."""
+    """Units of files(path, content); see ``schema.UNIT``.
+
+    Files of unknown type have none. A file of a known type that no reader is given for, such as an image, and one whose
+    reader fails are each a row with an error, so that nothing is skipped unseen.
+    """
     readers = {**READERS, **(readers or {})}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,6 +57,8 @@ def parse(found: DataFrame, readers: dict[str, Reader] | None = None) -> DataFra
                 kind = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
                 base = dict.fromkeys(METADATA_FIELDS) | {"file_name": name}
                 if kind not in readers:
+                    if kind in KNOWN:
+                        rows.append((path, kind[1:], 0, None, None, base, f"no reader is given for {kind}"))
                     continue
                 try:
                     units = readers[kind](bytes(content), path)

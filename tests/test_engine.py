@@ -75,6 +75,62 @@ def test_scan_and_parse(spark, folder):
     assert list(units[("cache.md", "md-section:2")]["metadata"]["heading_path"]) == ["Cache", "Policy"]
 
 
+def fake_e5():
+    """An encoder of the e5 family whose vectors tell the prefix of what it saw; a local class, as workers lack this module."""
+
+    class Fake:
+        name = "fake-e5"
+
+        def encode(self, texts):
+            import numpy as np
+
+            return np.array([[t.startswith("passage: "), t.startswith("query: "), t.startswith("passage: query: "), 1.0] for t in texts], dtype=np.float32)
+
+    return Fake()
+
+
+def test_questions_and_passages_have_their_own_prefixes(spark, folder, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"), encoder=fake_e5())
+    engine.build(str(folder))
+    assert {tuple(r["emb_full"]) for r in engine._corpus().collect()} == {(1.0, 0.0, 0.0, 1.0)}
+    top = engine.stages(engine._one("What is cached?"))["dense_full"].collect()
+    assert {r["score"] for r in top} == {1.0}, "a passage and a question agree in the last place only"
+
+
+def test_vectors_are_reused(spark, folder, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    first = engine.build(str(folder))
+    assert first["vectors_encoded"] > 0
+    again = engine.build(str(folder))
+    assert again["vectors_encoded"] == 0 and again["items"] == first["items"]
+    (folder / "more.txt").write_text("Another file of one sentence.")
+    assert engine.build(str(folder))["vectors_encoded"] == 1
+    items = engine._corpus().select("item", "source_path", "chunk_index").orderBy("item").collect()
+    assert [r["item"] for r in items] == list(range(len(items))) and [(r["source_path"], r["chunk_index"]) for r in items] == sorted((r["source_path"], r["chunk_index"]) for r in items)
+    other = Engine(spark, str(tmp_path / "index"), encoder=fake_e5())
+    assert other.build(str(folder))["vectors_encoded"] > 1
+
+
+def test_parse_options_choose_readers(folder):
+    from corpusflow.config import ParseOptions
+
+    asked = {}
+
+    def partition(data, path, strategy, languages):
+        asked.update(strategy=strategy, languages=languages)
+        return [parsers.Element("Table", "t", 1, "<table><tr><td>a</td><td>b</td></tr></table>")]
+
+    readers = parsers.readers_for(ParseOptions(engine="elements", pdf_strategy="fast", ocr_languages=("eng", "deu")), partition)
+    assert readers[".pdf"](b"", "x.pdf")[0].content == "a,b" and asked == {"strategy": "fast", "languages": ("eng", "deu")}
+    assert parsers.readers_for(ParseOptions(engine="elements", infer_tables=False), partition)[".pdf"](b"", "x.pdf")[0].content == "t"
+    images = parsers.readers_for(ParseOptions(captions=True, caption_tokens=7), ocr=lambda b, languages: "/".join(languages), caption=lambda b, tokens: f"{tokens} words")
+    assert images[".png"](b"", "x.png")[0].content == "Caption: 7 words\n\nOCR: eng"
+    assert parsers.readers_for(ParseOptions(), ocr=lambda b: "o", caption=lambda b: "c")[".png"](b"", "x.png")[0].content == "o"
+    assert parsers.readers_for(ParseOptions(pdf_tables_as_csv=False))[".pdf"].keywords == {"tables_as_csv": False}
+    with pytest.raises(ValueError):
+        parsers.readers_for(ParseOptions(engine="elements"))
+
+
 def test_readers_plug_in():
     read = parsers.image_reader(lambda b: "words", lambda b: "a cat")
     assert read(b"", "x.png")[0].content == "Caption: a cat\n\nOCR: words"
