@@ -124,6 +124,26 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     return joined.withColumn("_cf_epoch", F.explode(F.sequence(F.lit(1), F.col("_cf_times")))).select(*[joined[c] for c in docs.columns])
 
 
+def in_order(docs: DataFrame, run: int, tokens: Column | None = None) -> DataFrame:
+    """doc_id, source, key, tokens, copy, run: the rows of a mixture in runs of about ``run`` tokens each.
+
+    A source's documents lie in the shuffled order of their stream, their first copies before their second ones; where a
+    row lies in its source's stream, between 0 and 1, gives its run. So every run holds the same share of each source.
+    """
+    tokens = token_count(docs["text"]) if tokens is None else tokens
+    rows = docs.select(*_text_key(docs), tokens.cast("bigint").alias("tokens")).where("tokens > 0")
+    rows = rows.groupBy(F.col("_cf_id").alias("doc_id"), F.col("_cf_source").alias("source"), F.col("_cf_key").alias("key"), "tokens").agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(rows.withColumn("position", md5_position(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "order-rows")
+    sums = rows.groupBy("source").agg(F.sum("tokens").alias("once"), F.sum(F.col("tokens") * F.col("copies")).alias("all"))
+    runs = max(1, -(-(sums.agg(F.sum("all")).first()[0] or 0) // run))
+    laid = prefix_rank(rows, ["source"], "position", ["doc_id", "key", "tokens"], rows.count(), weight="tokens", before="start").join(sums, "source")
+    # a document of several sources has its copies numbered through
+    earlier = F.sum("copies").over(W.partitionBy("doc_id", "key", "tokens").orderBy("source")) - F.col("copies")
+    every = laid.withColumn("first", earlier).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    place = (F.col("nth") * F.col("once") + F.col("start")) / F.col("all")
+    return every.select("doc_id", "source", "key", "tokens", (F.col("first") + F.col("nth")).alias("copy"), F.least(F.lit(runs - 1), F.floor(place * runs)).cast("bigint").alias("run"))
+
+
 SQL = f"""
 WITH counted AS (
   SELECT doc_id, coalesce(source, '') AS source, md5(text) AS key,

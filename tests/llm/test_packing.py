@@ -83,3 +83,53 @@ def test_odd_rows(odd, empty):
     assert copies == {(1, 0): 2, (1, 1): 1, (2, 0): 1}
     assert {r["doc_id"] for r in rows} == {1, 2, 4, None, 6, 7, 8, 9}
     assert packing.pack(empty).count() == 0
+
+
+def test_runs_keep_the_order_and_the_shares_of_a_mixture(spark):
+    from corpusflow.llm import mixing
+
+    docs = spark.createDataFrame([(i, "abcd" * (1 + i * 37 % 90), "big" if i % 4 else "small") for i in range(600)], "doc_id bigint, text string, source string").repartition(3)
+    mixed = mixing.mix_documents(docs, {"big": 0.5, "small": 0.5}, block=64)
+    placed = mixing.in_order(mixed, 2000)
+    rows = [r.asDict() for r in packing.pack_in_order(placed, 100).collect()]
+    run = {(r["doc_id"], r["copy"]): r for r in placed.collect()}
+    assert len(run) == mixed.count()
+    # every token of every copy is placed once, and no two pieces overlap
+    seen, bins = {}, {}
+    for r in rows:
+        seen.setdefault((r["doc_id"], r["copy"]), []).append((r["doc_offset"], r["n_tokens"]))
+        bins.setdefault(r["bin"], []).append((r["bin_offset"], r["n_tokens"], run[(r["doc_id"], r["copy"])]["run"]))
+    assert {k: sum(n for _, n in v) for k, v in seen.items()} == {k: r["tokens"] for k, r in run.items()}
+    for parts in bins.values():
+        at = 0
+        for start, n, _ in sorted(parts):
+            assert start == at
+            at += n
+        assert at <= 100 and len({x for _, _, x in parts}) == 1
+    order = [bins[b][0][2] for b in sorted(bins)]
+    assert sorted(bins) == list(range(len(bins))) and order == sorted(order), "sequences of a run come before those of the next"
+    for k in range(max(order) + 1):
+        own = [r for r in run.values() if r["run"] == k]
+        share = sum(r["tokens"] for r in own if r["source"] == "small") / sum(r["tokens"] for r in own)
+        assert abs(share - 0.5) < 0.1
+    # within a run, the plan is that of best fit over its pieces alone
+    for k in (0, 1):
+        lengths = sorted((r["n_tokens"] for r in rows if run[(r["doc_id"], r["copy"])]["run"] == k), reverse=True)
+        rooms = []
+        for n in lengths:
+            fit = min((x for x in rooms if x >= n), default=None)
+            if fit is None:
+                rooms.append(100 - n)
+            else:
+                rooms.remove(fit)
+                rooms.append(fit - n)
+        assert sorted(rooms) == sorted(100 - sum(n for _, n, _ in v) for v in bins.values() if v[0][2] == k)
+
+
+def test_runs_odd_rows(odd, empty):
+    from corpusflow.llm import mixing
+
+    rows = packing.pack_in_order(mixing.in_order(odd.union(odd.where("doc_id = 2").withColumn("source", F.lit("z"))), 1000)).collect()
+    assert sorted(r["copy"] for r in rows if r["doc_id"] == 2) == [0, 1], "copies are numbered through all sources"
+    assert {r["doc_id"] for r in rows} == {1, 2, 4, None, 6, 7, 8, 9} and len({(r["doc_id"], r["copy"], r["piece"], r["bin"], r["bin_offset"]) for r in rows}) == len(rows)
+    assert packing.pack_in_order(mixing.in_order(empty, 1000)).count() == 0
