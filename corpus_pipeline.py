@@ -33,8 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of equal capacity."""
-    return packing.pack(docs)
+    """The place of every piece of every document in sequences of equal capacity, in an order that keeps the mixture.
+
+    Best fit is planned within runs of sequences; each run holds the same share of every source, so that a training run
+    that stops early has seen the target shares too.
+    """
+    return packing.pack_in_order(mixing.in_order(docs, packing.RUN))
 
 
 STAGES = [
