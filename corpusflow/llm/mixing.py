@@ -111,7 +111,8 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     begin = F.greatest("lo", F.col("source_rank") * block)
     end = F.least("hi", (F.col("source_rank") + 1) * block)
     pieces = pieces.select("source", "source_rank", "epoch", (begin - F.col("source_rank") * block).alias("slot_offset"), "doc_id", (begin - F.col("lo")).alias("doc_offset"), (end - begin).alias("n_tokens"))
-    return pieces.join(slots, ["source", "source_rank"]).select("slot", "source", "source_rank", "epoch", "slot_offset", "doc_id", "doc_offset", "n_tokens")
+    # the slots grow with the data: no broadcast, however few there are
+    return pieces.join(slots.hint("merge"), ["source", "source_rank"]).select("slot", "source", "source_rank", "epoch", "slot_offset", "doc_id", "doc_offset", "n_tokens")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, target: int | None = None) -> DataFrame:
