@@ -38,7 +38,7 @@ NEAR = 6
 LEAST_TOXIC = 3
 TOXIC_SHARE = 0.85
 #: Bytes of text handled at once, and entries that counts of terms may have before they are passed on.
-SLICE = 2 << 20
+SLICE = 1 << 20
 TERMS = 200_000
 
 #: English, German, French and Spanish. A word that is an ordinary one in another of these languages (``die``, ``rat``,
@@ -74,7 +74,7 @@ class Words:
     Values: seed groups, learned word, learned stem, second person, capitals, marks and the like.
     """
 
-    MOST = 1 << 17
+    MOST = 1 << 16
     WIDTH = 13
 
     def __init__(self, lexicon: Lexicon):
