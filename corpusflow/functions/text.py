@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,14 @@ BOUNDARY = f"(?<=[!?]|(?<!\\p{{Lu}})\\.)\\s+(?={_opens})"
 SLIDE_WORDS = ("slide", "deck", "presentation", "pptx", "powerpoint")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without ASCII white space at either end."""
-    return F.regexp_replace(text, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    return F.trim(text, F.lit(" \t\r\n\f"))
 
 
 def is_blank(text: Column) -> Column:

@@ -23,33 +23,40 @@ SYSTEM = (
 TASK = "Answer briefly, cite the blocks by number after each claim, use nothing but the context, and end with a list of sources."
 
 
-def page_neighbours(units: DataFrame, most: int = NEARBY_CHARS) -> DataFrame:
+def page_neighbours(units: DataFrame, most: int = NEARBY_CHARS, empty: bool = False) -> DataFrame:
     """id, nearby: texts of the prose units on the same page of the same file, for every image.
 
-    Units are taken in order until their lengths exceed ``most`` characters; the joined text is cut there.
+    Units are taken in order until their lengths exceed ``most`` characters; the joined text is cut there. Blank units
+    don't count, unless ``empty``.
     units(id, source_path, page_number, source_type, element_type, ordinal, content); a page may be null.
     """
-    prose = units.where((F.col("element_type").isin(*PROSE) | F.col("source_type").isin("md", "txt")) & ~is_blank(F.col("content")))
-    near = prose.select(F.col("id").alias("_id"), F.col("source_path").alias("_path"), F.col("page_number").alias("_page"), F.col("ordinal").alias("_at"), strip(F.col("content")).alias("_text"))
+    prose = units.where((F.col("element_type").isin(*PROSE) | F.col("source_type").isin("md", "txt")) & (F.lit(empty) | ~is_blank(F.col("content"))))
+    # of a text longer than ``most`` the rest is never shown, and nothing follows it
+    near = prose.select(F.col("id").alias("_id"), F.col("source_path").alias("_path"), F.col("page_number").alias("_page"), F.col("ordinal").alias("_at"), F.substring(strip(F.col("content")), 1, most + 1).alias("_text"))
     images = units.where("source_type = 'image'").select("id", "source_path", "page_number")
     pairs = images.join(near, (images.source_path == near._path) & images.page_number.eqNullSafe(near._page) & (images.id != near._id))
     before = F.coalesce(F.sum(F.length("_text")).over(W.partitionBy("id").orderBy("_at", "_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     taken = pairs.withColumn("_before", before).where(F.col("_before") <= most)
-    joined = taken.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_id", "_text"))), lambda x: x["_text"]), "\n\n").alias("t"))
+    joined = taken.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_id", "_text"))), lambda x: x["_text"]), "\n\n").alias("t"), F.count("_text").alias("n"))
+    joined = joined.withColumn("t", F.when(F.col("n") > 0, F.col("t")))
     return joined.select("id", F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit("…"))).otherwise(F.col("t")).alias("nearby"))
 
 
-def full_text(source_type: Column, content_format: Column, content: Column, heading_path: Column, nearby: Column) -> Column:
-    """What the full vector is made of: a table in sentences, an image's caption and text, a section under its path."""
+def full_text(source_type: Column, content_format: Column, content: Column, heading_path: Column, nearby: Column, empty: bool = False) -> Column:
+    """What the full vector is made of: a table in sentences, an image's caption and text, a section under its path.
+
+    Empty captions, neighbours and sections leave nothing, or with ``empty`` the words that lead to them.
+    """
     content = F.coalesce(content, F.lit(""))
     captioned = content.startswith("Caption:")
     parts = F.split(content, "OCR:", 2)
-    caption = F.when(captioned, strip(F.replace(F.get(parts, F.lit(0)), F.lit("Caption:"), F.lit("")))).otherwise("")
-    ocr = F.when(captioned, strip(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).otherwise(content)
-    piece = lambda lead, text, end: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(lead), text, F.lit(end)))
-    figure = F.concat_ws(" \n", piece("Figure caption: ", caption, "."), piece("Figure text (OCR): ", ocr, "."), piece("Nearby context: ", nearby, ""))
+    edges = lambda text: F.trim(text, F.lit(" \t\n"))
+    caption = F.when(captioned, edges(F.replace(F.get(parts, F.lit(0)), F.lit("Caption:"), F.lit("")))).otherwise("")
+    ocr = F.when(captioned, edges(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).otherwise(content)
+    piece = lambda lead, text, end, shown=F.lit(empty): F.when(shown & text.isNotNull() | (F.coalesce(text, F.lit("")) != ""), F.concat(F.lit(lead), text, F.lit(end)))
+    figure = F.concat_ws(" \n", piece("Figure caption: ", caption, ".", captioned & F.lit(empty)), piece("Figure text (OCR): ", ocr, "."), piece("Nearby context: ", nearby, ""))
     path = F.array_join(F.filter(heading_path, lambda h: F.coalesce(h, F.lit("")) != ""), " > ")
-    section = F.concat(F.lit("Section: "), path, F.lit("."), F.when(content != "", F.concat(F.lit("\n"), content)).otherwise(""))
+    section = F.concat(F.lit("Section: "), path, F.lit("."), F.when(F.lit(empty) | (content != ""), F.concat(F.lit("\n"), content)).otherwise(""))
     return (
         F.when((F.coalesce(content_format, F.lit("")) == "csv") | (source_type == "csv"), linearize(content))
         .when(source_type == "image", F.when(figure == "", content).otherwise(figure))
@@ -63,9 +70,9 @@ def summary_text(source_type: Column, content_format: Column, text: Column, colu
     names = F.when(F.coalesce(F.size(columns), F.lit(0)) > 0, F.array_join(F.slice(columns, 1, 10), ", ")).otherwise("table columns")
     table = F.concat(F.lit("This table summarizes "), F.coalesce(num_rows.cast("string"), F.lit("multiple")), F.lit(" rows across columns "), names, F.lit("."))
     first = F.get(F.split(text, "\n", 2), F.lit(0))
-    figure = F.concat(F.regexp_replace(strip(F.replace(first, F.lit("Figure caption:"), F.lit("This figure"))), "[.]+$", ""), F.lit("."))
+    figure = F.concat(F.regexp_replace(F.regexp_replace(F.replace(first, F.lit("Figure caption:"), F.lit("This figure")), r"^\p{Zs}+|\p{Zs}+\z", ""), r"[.]+\z", ""), F.lit("."))
     line = F.get(F.split(strip(text), "\n", 2), F.lit(0))
-    short = F.when(F.length(line) > SUMMARY_CHARS, F.concat(F.regexp_replace(F.substring(line, 1, SUMMARY_CHARS), "[ \t\r\f]+$", ""), F.lit("…"))).otherwise(line)
+    short = F.when(F.length(line) > SUMMARY_CHARS, F.concat(F.regexp_replace(F.substring(line, 1, SUMMARY_CHARS), r"\p{Zs}+\z", ""), F.lit("…"))).otherwise(line)
     return (
         F.when((F.coalesce(content_format, F.lit("")) == "csv") | (source_type == "csv"), table)
         .when(source_type == "image", F.when(text.contains("Figure caption:"), figure).otherwise("This figure supports the section around it."))
