@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import let
+
 EPSILON = 1e-9
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded in binary, halves away from zero, as DuckDB does; what rounds to zero keeps its sign."""
+    scale = 10.0**digits
+    size = F.abs(x * scale)
+    down = F.rint(size)
+    near = F.signum(x) * F.when(size - down == 0.5, down + 1).otherwise(down) / scale
+    return F.when(F.abs(near) < float("inf"), near).otherwise(x)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -23,8 +34,7 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """v / (|v| + 1e-9)."""
-    norm = l2_norm(v)
-    return F.transform(doubles(v), lambda x: x / (norm + EPSILON))
+    return let(l2_norm(v), lambda norm: F.transform(doubles(v), lambda x: x / (norm + EPSILON)))
 
 
 def mean_pool(vectors: Column) -> Column:

@@ -81,6 +81,12 @@ def test_summary_and_full_text(spark):
     assert summary("txt", "y" * 281) == "y" * 280 + "…"
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    found = one(spark, F.transform(F.array(*map(F.lit, (-1e-9, -0.0, 0.0, 2.6e-6, -2.6e-6, 1.5, 1e308))), lambda x: vectors.rounded(x, 6)))
+    assert list(map(repr, found[:3])) == ["-0.0", "-0.0", "0.0"] and found[3:] == [3e-6, -3e-6, 1.5, 1e308]
+    assert one(spark, vectors.rounded(F.lit(0.5), 0)) == 1 and one(spark, vectors.rounded(F.lit(-2.5), 0)) == -3
+
+
 def test_labels_and_blocks(spark):
     label = lambda page, slide: one(spark, assembly.citation_label(F.lit(2), F.lit("a.pdf"), F.lit(page).cast("int"), F.lit(slide).cast("int")))
     assert [label(3, None), label(0, 4), label(None, None), label(0, 0)] == ["[2] a.pdf (page 3)", "[2] a.pdf (page 4)", "[2] a.pdf", "[2] a.pdf"]
