@@ -26,7 +26,7 @@ def odd_tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["full_text", "page_neighbours", "scan_docx", "vec_mean_pool", "vec_normalise"])
+@pytest.mark.parametrize("name", ["full_text", "page_neighbours", "scan_docx", "vec_mean_pool", "vec_normalise", "summary_text"])
 def test_equals_sql_to_the_sign_of_zero(spark, odd_tables, name):
     con = pytest.importorskip("duckdb").connect()
     for t in ("documents", "embeddings"):
@@ -41,3 +41,7 @@ def test_values_are_bound_once(spark):
     from corpusflow.functions.text import let
 
     assert spark.range(1).select(let(F.lit(2), lambda x: x * x)).first()[0] == 4
+
+
+def test_a_summary_needs_no_neighbours(spark, odd_tables):
+    assert "Exchange" not in QUERIES["summary_text"](spark, str(odd_tables))._jdf.queryExecution().executedPlan().toString()
