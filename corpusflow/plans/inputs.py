@@ -130,8 +130,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, document_id, vectors, text, kind of every document that has a vector."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").cast("string").alias("document_id"), F.col("embedding").alias("vector"), F.slice("embedding", 1, 32).alias("summary"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", "lang", F.concat("source", F.lit("/"), "lang").alias("source_path"))
-    return vectors.join(docs, "item").withColumn("is_table", F.col("text").contains("|")).withColumn("is_slide", F.col("lang") == "de")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", "lang", F.concat("source", F.lit("/"), "lang").alias("source_path"), F.col("text").contains("|").alias("is_table"))
+    # the vectors are the smaller side; texts are moved, not sorted
+    return docs.join(vectors.hint("shuffle_hash"), "item").withColumn("is_slide", F.col("lang") == "de")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
